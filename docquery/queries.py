@@ -1,0 +1,10 @@
+"""Registered queries over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
