@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, matroska, mixing, toxicity
+from . import chat_format, jaccard_join, language_id, matroska, mixing, toxicity
 
-MODULES = (chat_format, toxicity, mixing, matroska, language_id)
+MODULES = (chat_format, toxicity, mixing, jaccard_join, matroska, language_id)
 
 
 def queries() -> dict:
