@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontam, jaccard_join, language_id, license_scan, matroska, mixing, secret_scan, toxicity
+from . import chat_format, decontam, jaccard_join, language_id, license_scan, matroska, mixing, secret_scan, suffix_dedup, toxicity
 
-MODULES = (chat_format, toxicity, mixing, jaccard_join, license_scan, secret_scan, matroska, language_id, decontam)
+MODULES = (chat_format, toxicity, mixing, suffix_dedup, jaccard_join, license_scan, secret_scan, matroska, language_id, decontam)
 
 
 def queries() -> dict:
