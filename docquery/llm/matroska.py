@@ -1,7 +1,8 @@
 """Matroska media columns: EBML elements, clusters, lacing and cues parsed into packet tables.
 
 ``parse`` reads a file's bytes: variable-length element ids and sizes (unknown sizes included), SimpleBlocks
-and BlockGroups with no, Xiph, fixed-size or EBML lacing, timestamps relative to their cluster, and cues.
+and BlockGroups with no, Xiph, fixed-size or EBML lacing, timestamps relative to their cluster
+(laced frames follow at the track's default duration), and cues.
 ``store`` writes bytes losslessly as one track of unsigned 8-bit PCM samples: frames of ``FRAME`` samples,
 ``LACED`` of them laced in a block (fixed-size lacing where they are of one size, else EBML lacing),
 ``BLOCKS`` blocks in a cluster, and a cue for each cluster. One tick of the clock is one sample.
@@ -28,7 +29,7 @@ from .tables import table
 FRAME, LACED, BLOCKS, RATE = 1024, 8, 4, 8000
 # The element ids of RFC 9559.
 EBML, DOCTYPE, SEGMENT, INFO, SCALE, TRACKS, ENTRY = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE
-NUMBER, UID, KIND, CODEC, AUDIO, HERTZ, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+NUMBER, UID, KIND, CODEC, AUDIO, HERTZ, CHANNELS, DEPTH, DURATION = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that can end one of unknown size.
@@ -72,7 +73,7 @@ def store(payload: bytes) -> bytes:
     head = element(EBML, number(0x4286, 1) + number(0x42F7, 1) + number(0x42F2, 4) + number(0x42F3, 8) + element(DOCTYPE, b"matroska") + number(0x4287, 4) + number(0x4285, 2))
     info = element(INFO, number(SCALE, 10**9 // RATE) + element(0x4D80, b"docquery") + element(0x5741, b"docquery"))
     audio = element(AUDIO, element(HERTZ, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))
-    tracks = element(TRACKS, element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(0x9C, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(0x9C, 1) + number(DURATION, FRAME * 10**9 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     parts, at, points = [info, tracks], len(info) + len(tracks), []
     for c in range(0, len(payload), FRAME * LACED * BLOCKS):
         blocks = [number(TIME, c)]
@@ -193,7 +194,7 @@ def parse(s: bytes) -> Media:
                 for e, _, x, y in elements(s, a, b):
                     if e == ENTRY:
                         t = {k: (i, j) for k, _, i, j in elements(s, x, y)}
-                        out.tracks.append({"number": _uint(s, *t[NUMBER]) if NUMBER in t else 0, "kind": _uint(s, *t[KIND]) if KIND in t else 0, "codec": s[slice(*t[CODEC])].decode("ascii", "replace") if CODEC in t else ""})
+                        out.tracks.append({"number": _uint(s, *t[NUMBER]) if NUMBER in t else 0, "kind": _uint(s, *t[KIND]) if KIND in t else 0, "duration": _uint(s, *t[DURATION]) if DURATION in t else 0, "codec": s[slice(*t[CODEC])].decode("ascii", "replace") if CODEC in t else ""})
             elif eid == CLUSTER:
                 _cluster(s, begin - seg, a, b, out)
             elif eid == CUES:
@@ -229,8 +230,9 @@ def _block(s: bytes, a: int, b: int, base: int, index: int, out: Media, key: boo
     when, flags = struct.unpack_from(">hB", s, a)
     lacing = flags >> 1 & 3
     at = base + when
-    for x, n in _frames(s, a + 3, b, lacing):
-        out.packets.append((track, at, x, n, bool(flags & 0x80) if key is None else key, index, lacing))
+    step = next((t["duration"] for t in out.tracks if t["number"] == track), 0) // max(1, out.scale)
+    for k, (x, n) in enumerate(_frames(s, a + 3, b, lacing)):
+        out.packets.append((track, at + k * step, x, n, bool(flags & 0x80) if key is None else key, index, lacing))
 
 
 def packets(df: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
