@@ -304,7 +304,7 @@ _WORDS = "(list_filter(regexp_extract_all(lower(n_name), '[a-zA-Z0-9]+'), lambda
 
 @register(f"""WITH q AS (SELECT c_custkey AS query_id, {_WORDS} AS words FROM customer JOIN nation ON n_nationkey = c_nationkey), t AS (SELECT DISTINCT n_name AS title, n_regionkey AS level FROM nation),
 h AS (SELECT query_id, level, title, lower(title) LIKE '%' || array_to_string(words, '%') || '%' AS ordered FROM q JOIN t ON len(list_filter(words, lambda w: contains(lower(title), w))) > 0),
-k AS (SELECT *, bool_or(ordered) OVER (PARTITION BY query_id) AS some FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level, title) AS rank FROM k WHERE ordered OR NOT some)
+k AS (SELECT *, bool_or(ordered) OVER (PARTITION BY query_id) AS any_ordered FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level, title) AS rank FROM k WHERE ordered OR NOT any_ordered)
 SELECT query_id, title, level FROM r WHERE rank <= 12""")
 def join_section_expansion(spark, sf):
     q = table(spark, sf, "customer").join(table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select(F.col("c_custkey").alias("query_id"), F.col("n_name").alias("text"))

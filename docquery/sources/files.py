@@ -114,7 +114,7 @@ def parse(files: DataFrame) -> DataFrame:
     texts = f.where(F.col("kind").isin(*plain)).select("path", "file_type", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.posexplode(pages).alias("p", "text"))
     texts = texts.select("path", "file_type", "success", "error", (F.col("p") + 1).alias("page_num"), "text")
     csv = f.where("kind = 'csv'").select("path", F.posexplode(F.split(t, "\n")).alias("line", "s")).where("s <> ''")
-    cells = F.transform(F.regexp_extract_all("s", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "s"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')))
     csv = chunking.csv_pages(csv.withColumn("cells", cells), "path").select(F.col("file").alias("path"), F.lit("csv").alias("file_type"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), "page_num", "text")
     parsers = {"email": parse_email} | _PARSERS
 
