@@ -38,7 +38,7 @@ from . import bytesops as bo
 from .tables import Scratch, table
 
 WINDOW, K, SHALLOW = 50, 16, 16
-BLOCK, BUCKET, LEAST_BUCKETS = 1 << 20, 1 << 24, 64
+BLOCK, BUCKET, LEAST_BUCKETS, SLICE = 1 << 20, 1 << 22, 64, 1 << 17
 RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u4")])
 SPAN = np.dtype([("start", "<u4"), ("windows", "<u4")])
 
@@ -158,7 +158,8 @@ def _by_bucket(batches):
     """The rows of each bucket, from batches sorted by bucket."""
     now, held = None, []
     for b in batches:
-        for row in b.to_pylist():
+        for k in range(b.num_rows):
+            row = {c: b[c][k].as_py() for c in b.schema.names}
             if row["bucket"] != now and held:
                 yield now, held
                 held = []
@@ -208,11 +209,10 @@ def send_runs(blocks: DataFrame, bits: int) -> DataFrame:
                 out["key"], out["start"], out["windows"] = keys[order], starts[order], windows[order]
                 out["doc"] = np.array([0 if i is None else i for i in block.ids], np.int64)[docs[order]]
                 edges = np.searchsorted(_bucket(out["key"], bits), np.arange((1 << bits) + 1))
-                for q in range(1 << bits):
-                    part = out[edges[q] : edges[q + 1]]
-                    if len(part):
-                        data = block.buf[_flat(part["start"], part["windows"] + (WINDOW - 1))]
-                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([q], pa.int32()), "block": b["block"].slice(k, 1), "runs": pa.array([z.compress(part.tobytes())], pa.binary()), "data": pa.array([z.compress(data.tobytes())], pa.binary())})
+                some = [q for q in range(1 << bits) if edges[q + 1] > edges[q]]
+                parts = [out[edges[q] : edges[q + 1]] for q in some]
+                data = [z.compress(block.buf[_flat(x["start"], x["windows"] + (WINDOW - 1))].tobytes()) for x in parts]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "block": pa.array([b["block"][k].as_py()] * len(some), pa.int64()), "runs": pa.array([z.compress(x.tobytes()) for x in parts], pa.binary()), "data": pa.array(data, pa.binary())})
 
     return blocks.mapInArrow(run, "bucket int, block bigint, runs binary, data binary")
 
@@ -292,6 +292,16 @@ def _common(chars: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n[i] bytes from a[i] are those from b[i], about a million bytes at a time."""
+    out, cuts = np.ones(len(a), bool), np.cumsum(n) // (1 << 20)
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(cuts)) + 1):
+        part = part[a[part] != b[part]]
+        if len(part):
+            out[part] = np.logical_and.reduceat(data[_flat(a[part], n[part])] == data[_flat(b[part], n[part])], np.cumsum(n[part]) - n[part])
+    return out
+
+
 def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, first window in it, windows) of what is to be removed; data: the runs' bytes one after the other."""
     sizes = runs["windows"].astype(np.int64) + WINDOW - 1
@@ -303,7 +313,7 @@ def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     key, h, n = runs["key"][order], hashes[order], sizes[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])))
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    same = np.logical_and.reduceat(data[_flat(at[order], n)] == data[_flat(at[head], n)], np.cumsum(n) - n)
+    same = _equal(data, at[order], at[head], n)
     lead = order[new | ~same]  # a collision of hashes stands for itself
     whole = order[same & (runs["doc"][order] > runs["doc"][head])]
     out = [(whole, np.zeros(len(whole), np.int64), runs["windows"][whole].astype(np.int64))]
@@ -330,6 +340,23 @@ def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _in_slices(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """removed_windows() of the runs of some keys at a time, SLICE windows or so, and of a key at least."""
+    sizes = runs["windows"].astype(np.int64) + WINDOW - 1
+    at = np.cumsum(sizes) - sizes
+    order = np.argsort(runs["key"], kind="stable")
+    key = runs["key"][order]
+    step = np.cumsum(runs["windows"][order].astype(np.int64)) // SLICE
+    first = np.searchsorted(key, key, "left")
+    cuts = np.flatnonzero(np.diff(step[first])) + 1 if len(key) else []
+    out = []
+    for part in np.split(order, cuts):
+        if len(part):
+            which, start, windows = removed_windows(runs[part], data[_flat(at[part], sizes[part])])
+            out.append((part[which], start, windows))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
 def sort_runs(sent: DataFrame) -> DataFrame:
     """(block, spans): the windows to be removed from each block."""
 
@@ -340,7 +367,7 @@ def sort_runs(sent: DataFrame) -> DataFrame:
             data = np.frombuffer(b"".join(z.decompress(r["data"]) for r in rows), np.uint8)
             runs = np.concatenate(parts)
             block = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-            which, first, windows = removed_windows(runs, data)
+            which, first, windows = _in_slices(runs, data)
             order = np.argsort(block[which], kind="stable")
             which, first, windows = which[order], first[order], windows[order]
             out = np.empty(len(which), SPAN)
