@@ -24,7 +24,11 @@ def register(sql: str | None = None):
 
 
 JOBS = f"(SELECT event_id::VARCHAR AS job_id, event_id, user_id::VARCHAR AS tenant_id, '/in/' || event_id AS source_path, {STATUS_SQL} AS status, ts AS created_at, ts AS updated_at, value FROM events)"
-NOW, NOW_SQL = F.lit("2030-01-01 00:00:00").cast("timestamp"), "TIMESTAMP '2030-01-01 00:00:00'"
+NOW_SQL = "TIMESTAMP '2030-01-01 00:00:00'"
+
+
+def _now():
+    return F.lit("2030-01-01 00:00:00").cast("timestamp")
 
 
 @register("SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, count(DISTINCT lang) AS file_types FROM documents")
@@ -78,7 +82,7 @@ def str_claim(spark, sf):
 
 @register(f"SELECT job_id, CASE WHEN status = 'running' AND updated_at < {NOW_SQL} - INTERVAL 1800 SECOND THEN 'queued' ELSE status END AS status FROM {JOBS}")
 def str_requeue(spark, sf):
-    return jobs.requeued(jobs_of(spark, sf), NOW).select("job_id", "status")
+    return jobs.requeued(jobs_of(spark, sf), _now()).select("job_id", "status")
 
 
 @register(f"SELECT tenant_id, arg_max(status, event_id) AS status FROM {JOBS} GROUP BY tenant_id")
@@ -91,7 +95,7 @@ def str_latest(spark, sf):
 def str_failed(spark, sf):
     j = jobs_of(spark, sf).withColumn("error", F.lit(None).cast("string"))
     bad = j.where("value > 50").select("job_id", F.concat(F.lit("value "), "job_id").alias("error"))
-    return jobs.failed(j, bad, NOW).select("job_id", "status", "error")
+    return jobs.failed(j, bad, _now()).select("job_id", "status", "error")
 
 
 @register(f"SELECT job_id, created_at::VARCHAR AS created_at FROM {JOBS} WHERE tenant_id = '1' ORDER BY created_at DESC, job_id LIMIT 50")
