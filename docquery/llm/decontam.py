@@ -2,10 +2,12 @@
 
 Words are runs of letters and digits, A-Z lower-cased. An item's seeds are its SEED-word n-grams (items with fewer
 words have one seed, the whole). A first scan counts the documents that hold each seed; a seed found in over COMMON
-documents and over RATIO times the median of its item's seeds is a common phrase, not a trace of the item, and is
-put aside (an item that leaked into a third of the corpus keeps its seeds, whose counts are all alike). A second
-scan looks up the rare seeds; around each hit a window of the document is aligned with the item, and the local
-alignment's score over the score of a perfect copy is kept where it reaches THRESHOLD.
+documents and over RATIO times the median of its item's seeds is common, the others are rare. A second scan looks up
+all seeds; around each hit a window of the document, wide enough for any alignment through the hit that reaches
+THRESHOLD, is aligned with the item, and the local alignment's score over the score of a perfect copy is kept where it
+reaches THRESHOLD. A window with common seeds alone is aligned only if it holds enough of the item's words for such a
+score, which saves time and loses nothing: how frequent a seed is never decides on a document.
+A copy without any seed (no SEED words of the item in a row) isn't looked for.
 
 The test items are the stated query set: they are taken in blocks of at most BLOCK_WORDS words, each small enough
 to be sent to every task; documents are never shuffled. Whole texts are scanned.
@@ -60,9 +62,7 @@ class Items:
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
         self.sizes = sorted({n for _, _, n in seeds})
-
-    def keep(self, rare: np.ndarray) -> None:
-        self.hash, self.item, self.place = self.hash[rare], self.item[rare], self.place[rare]
+        self.rare = np.ones(len(self.hash), bool)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into the seeds, place in the document) of each occurrence of a seed."""
@@ -107,12 +107,15 @@ def matches(words: np.ndarray, items: Items, threshold: float = THRESHOLD) -> li
     for k in np.unique(item):
         target = items.words[k]
         m = len(target)
-        pad = m // 2 + 8
-        diagonals = np.unique(offset[item == k])
+        pad = int(np.ceil(MATCH * m * (1 - threshold) / -GAP))  # no more gaps than this leave a score of the threshold
+        mine = item == k
+        diagonals, rare = np.unique(offset[mine]), np.unique(offset[mine & items.rare[seed]])
         groups = np.split(diagonals, np.flatnonzero(np.diff(diagonals) > 2 * pad) + 1)
         best = (0.0, 0, 0)
         for g in groups:
             lo, hi = max(0, int(g[0]) - pad), min(len(words), int(g[-1]) + m + pad)
+            if np.searchsorted(rare, g[0], "left") == np.searchsorted(rare, g[-1], "right") and np.isin(target, words[lo:hi]).sum() < threshold * m:
+                continue
             score, end = align(words[lo:hi], target)
             if score / (MATCH * m) > best[0]:
                 _, back = align(words[lo : lo + end][::-1], target[::-1]) if score >= threshold * MATCH * m else (0, 0)
@@ -152,21 +155,21 @@ def count_seeds(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def rare_blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
+def counted_blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
     out = blocks(benchmark)
     for items in out:
         n = count_seeds(docs, items)
         median = np.zeros(len(items.ids))
         for k in range(len(items.ids)):
             median[k] = np.median(n[items.item == k])
-        items.keep((n <= COMMON) | (n <= RATIO * median[items.item]))
+        items.rare = (n <= COMMON) | (n <= RATIO * median[items.item])
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row (doc_id, item_id, score, first_word, end_word) for each document and test item of which it holds a copy."""
     out = None
-    for items in rare_blocks(docs, benchmark):
+    for items in counted_blocks(docs, benchmark):
 
         def run(batches, items=items):
             for b in batches:
@@ -182,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a copy of a test item; one scan a block, no shuffle."""
     kept = docs
-    for items in rare_blocks(docs, benchmark):
+    for items in counted_blocks(docs, benchmark):
 
         def run(batches, items=items):
             for b in batches:

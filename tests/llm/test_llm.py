@@ -286,6 +286,39 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.clean(docs.limit(0), bench).count() == 0
 
 
+def brute_matches(text: str, item: str) -> float:
+    """Score of the full Smith-Waterman table over a perfect copy's."""
+    a, b = ([w for w in re.findall(r"[a-z0-9]+", x.lower())] for x in (text, item))
+    row, best = [0] * (len(b) + 1), 0
+    for w in a:
+        new = [0]
+        for j, v in enumerate(b):
+            new.append(max(0, row[j] + (2 if v == w else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return round(best / (2 * len(b)), 6)
+
+
+@pytest.mark.parametrize("case", ["edited", "whole beside partial", "common phrases", "inserted"])
+def test_frequent_copies_are_found(spark, case):
+    items = {1: prose(5, 40, 10_000), 2: prose(50, 24, 10_000)}
+    words = items[1].split()
+    edited, half = " ".join("zz" if k % 5 == 0 else w for k, w in enumerate(words)), " ".join(words[10:30])
+    split = " ".join(words[:16]) + " " + prose(51, 29, 10_000) + " " + " zz ".join(" ".join(words[k : k + 2]) for k in range(16, 40, 2))
+    plant = {
+        "edited": [edited] * 45,
+        "whole beside partial": [half] * 50 + [items[1]] * 3,
+        "common phrases": [" ".join(words[:6])] * 40 + [" ".join(words[:6]) + " " + prose(52, 90, 10_000) + " " + edited] * 30,
+        "inserted": [split] * 25,
+    }[case]
+    texts = [prose(100 + k, 30 + k % 7) + " " + p + " " + prose(200 + k, 20) for k, p in enumerate(plant)] + [prose(7, 200)]
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    docs = docs_of(spark, texts).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = {(k, i): x for k, t in enumerate(texts) for i, item in items.items() if (x := brute_matches(t, item)) >= 0.5}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {*range(len(texts)), 9001, 9002} - {k for k, _ in want}
+    assert len(want) > 20
+
+
 def test_alignment_against_the_full_table():
     r = np.random.default_rng(3)
     for _ in range(30):
