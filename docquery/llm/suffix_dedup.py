@@ -8,10 +8,11 @@ A string is a window of WINDOW bytes. Whole texts are packed, as they are scanne
    bucket answers each block with one bit a key: whether another document may have it.
 2. Blocks send the runs of windows with such a key, packed by bucket of the key, and nothing else.
 3. A bucket sorts the suffixes of these runs. Runs equal as a whole are one class, of which the least doc_id stands
-   for all. The others' suffixes are sorted with multikey quicksort on 8-byte characters to SHALLOW bytes; groups that
-   still share a prefix are deep, and a blind trie orders each: members branch off the first member's path where
-   they first differ from it, and each branch is a group again. A group without branches is one string; all
-   but those of its least doc_id are to be removed.
+   for all; what is removed from its first run is removed from that run's repetitions in the document too. The others'
+   suffixes are sorted with multikey quicksort on 8-byte characters to SHALLOW bytes; groups that still share a prefix
+   are deep, and a blind trie orders each: members branch off the first member's path where they first differ from it,
+   and each branch is a group again. A group without branches is one string; all but those of its least doc_id are to
+   be removed.
 4. Blocks take back their removed windows, and what is left is hashed.
 
 Buckets grow in number with the input; what a task holds of one is about BUCKET bytes of text times a small factor.
@@ -317,6 +318,11 @@ def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     lead = order[new | ~same]  # a collision of hashes stands for itself
     whole = order[same & (runs["doc"][order] > runs["doc"][head])]
     out = [(whole, np.zeros(len(whole), np.int64), runs["windows"][whole].astype(np.int64))]
+    # the first members' repetitions in their own documents, by first member
+    again = ~new & same & (runs["doc"][order] == runs["doc"][head])
+    again, first_of = order[again], head[again]
+    by_first = np.argsort(first_of, kind="stable")
+    again, first_of = again[by_first], first_of[by_first]
     # suffixes of the classes' first members, where a key has several
     lead = lead[np.argsort(runs["key"][lead], kind="stable")]
     key = runs["key"][lead]
@@ -336,7 +342,11 @@ def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
         if len(gone):
             cut = np.concatenate(([True], (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])))
             first = gone[cut]
-            out.append((owner[first], place[first] - at[owner[first]], np.diff(np.append(np.flatnonzero(cut), len(gone)))))
+            which, start, size = owner[first], place[first] - at[owner[first]], np.diff(np.append(np.flatnonzero(cut), len(gone)))
+            out.append((which, start, size))
+            lo = np.searchsorted(first_of, which, "left")
+            times = np.searchsorted(first_of, which, "right") - lo
+            out.append((again[_flat(lo, times)], np.repeat(start, times), np.repeat(size, times)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -176,6 +176,21 @@ def test_repeated_strings(spark, monkeypatch, alphabet):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_paragraphs_repeated_inside_a_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
+    s = prose(1, 40, 10_000)
+    a, b, c, d = (prose(k, 30, 10_000) for k in range(2, 6))
+    line = prose(6, 14, 10_000) + "\n"
+    texts = [prose(7, 20, 10_000), a + s + b, (c + s + d) * 2, line * 5 + prose(8, 20, 10_000), a + line[:60] + b + (c + s + d) * 3, (c + line + d) * 4]
+    docs = docs_of(spark, texts)
+    docs = docs.union(docs.where("doc_id = 2"))
+    want = brute_removed({k: t.encode() for k, t in enumerate(texts)})
+    got = [x for x in suffix_dedup.dedup(docs).collect() if x["doc_id"] in want]
+    assert len(got) == len(texts) + 3
+    for x in got:
+        assert (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) == want[x["doc_id"]]
+
+
 # --- 5
 
 
