@@ -1,7 +1,8 @@
 """Secret scans: candidates from whole texts, and a random forest that removes false positives.
 
-Candidates are private-key blocks, tokens of at least MIN_TOKEN characters that mix letters and digits, and whatever a
-credential word assigns. The forest sees each candidate's length and character classes, its entropy, how likely its
+Candidates are private-key blocks, tokens of at least MIN_TOKEN characters that mix letters and digits, credentials that
+begin as known formats do, and whatever of MIN_VALUE characters or more a credential word assigns, of any length: to the
+closing quote in its line where a quote opens it, to the next white space otherwise. Candidates that overlap are one. The forest sees each candidate's length and character classes, its entropy, how likely its
 character transitions are in this corpus (bigram counts over all rows), how much of it dictionary words cover, its path
 and its neighbouring words. It learns from labelled findings (text, path, label); ``labelled_findings`` makes a set
 of known credential formats and of look-alikes such as checksums, versions, identifiers and placeholders.
@@ -27,7 +28,7 @@ from . import bytesops as bo
 from .forest import Forest
 from .tables import table
 
-MIN_TOKEN, SAMPLE, THRESHOLD = 12, 20_000, 0.5
+MIN_TOKEN, MIN_VALUE, SAMPLE, THRESHOLD = 12, 6, 20_000, 0.5
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 KEYWORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "bearer")
@@ -35,10 +36,36 @@ INNOCENT = ("sha", "md5", "commit", "checksum", "hash", "digest", "uuid", "guid"
 DICTIONARY = ("password", "secret", "token", "example", "sample", "test", "dummy", "change", "your", "here", "user", "name", "admin", "default", "value", "string", "config", "version", "build", "release", "index", "image", "file", "path", "data", "service", "server", "client", "account", "project", "module", "package", "public", "static", "assets", "docs", "page", "node", "java", "python", "main", "master", "branch", "commit", "number", "order", "item", "type", "model", "layer", "block", "enter", "insert", "replace", "with", "this", "that", "the", "and", "for", "none", "null", "true", "false", "todo", "placeholder", "access", "key", "api", "auth")
 PATHS = ("test", "example", "fixture", "mock", "sample", "docs")
 _ASSIGNED = re.compile(r"(?i)(?:" + "|".join(map(re.escape, KEYWORDS)) + r")[\w-]*[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?$")
-_VALUE = re.compile(r"[^\s\"'#;,<>(){}]{6,256}")
+_LEAD, _BARE = re.compile(r">?\s{0,4}([\"']?)"), re.compile(r"\S*")
+_QUOTED = {q: re.compile(rf"(?:\\.|[^\\\r\n{q}])*+{q}") for q in "\"'"}
+_AROUND = re.compile(r"([\"'])[\w.-]*$")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PREFIX = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[opsu]_\w{20,}|xox[bap]-|sk_live_|AIza|eyJ")
+_KNOWN = re.compile(r"(?a)(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsu]_\w{20,}|(?:xox[bap]-|sk_live_|AIza|eyJ)[\w+/=-]*(?:\.[\w+/=-]+)*)")
+_KNOWN_START = re.compile(rb"(?<![A-Za-z0-9])[Agxse](?:KIA|SIA|h[opsu]_|ox[bap]-|k_live_|Iza|yJ)")
+
+
+def _value(text: str, at: int, around: str) -> tuple[int, int]:
+    """Start and end of the value after the mark before `at`; around: the quote that the key stands in, if any."""
+    lead = _LEAD.match(text, at)
+    a = lead.end()
+    if lead[1] and (v := _QUOTED[lead[1]].match(text, a)):
+        return a, v.end() - 1
+    b = _BARE.match(text, a).end()
+    stop = text.find(around, a, b) if around else -1
+    return a, b if stop < 0 else stop
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def candidates(texts: pa.Array):
@@ -52,26 +79,24 @@ def candidates(texts: pa.Array):
         mark_rows = np.searchsorted(offs, marks, "right") - 1
         begin = np.flatnonzero(buf == 45)  # of -----BEGIN
         begin = begin[: len(begin) - 4][(np.diff(begin, 4) == 4)] if len(begin) > 4 else begin[:0]
-        for k in np.unique(np.concatenate((rows[ok], mark_rows, np.searchsorted(offs, begin, "right") - 1))):
+        known = np.array([m.start() for m in _KNOWN_START.finditer(buf.tobytes())], np.int64)
+        known_rows = np.searchsorted(offs, known, "right") - 1
+        for k in np.unique(np.concatenate((rows[ok], mark_rows, known_rows, np.searchsorted(offs, begin, "right") - 1))):
             raw = buf[offs[k] : offs[k + 1]].tobytes()
-            spans = {(int(a - offs[k]), int(b - offs[k])) for a, b in zip(starts[ok & (rows == k)], ends[ok & (rows == k)], strict=True)}
+            text = raw.decode("utf-8", "replace")
+            places = np.arange(len(raw) + 1) if len(text) == len(raw) else np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+            found = [(int(places[a - offs[k]]), int(places[b - offs[k]])) for a, b in zip(starts[ok & (rows == k)], ends[ok & (rows == k)], strict=True)]
             for m in marks[mark_rows == k] - offs[k]:
                 left = raw[max(0, m - 40) : m + 1].decode("utf-8", "ignore")
-                right = raw[m + 1 : m + 300].decode("utf-8", "ignore")
-                lead = re.match(r">?\s{0,4}[\"']?", right)[0]
-                if _ASSIGNED.search(left) and (v := _VALUE.match(right, len(lead))):
-                    a = int(m) + 1 + len(right[: v.start()].encode())
-                    spans = {x for x in spans if x[1] <= a or x[0] >= a + len(v[0].encode())} | {(a, a + len(v[0].encode()))}
-            text = raw.decode("utf-8", "replace")
-            points = {}
-            if len(text) != len(raw):
-                places = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-                points = {p: int(places[p]) for s in spans for p in s}
-            found = [(points.get(a, a), points.get(b, b)) for a, b in spans]
-            for m in _PEM.finditer(text) if b"PRIVATE KEY" in raw else ():
-                found = [x for x in found if x[1] <= m.start() or x[0] >= m.end()] + [m.span()]
+                if key := _ASSIGNED.search(left):
+                    around = _AROUND.search(left[: key.start()])
+                    a, b = _value(text, int(places[m]) + 1, around[1] if around and around[1] not in key[0] else "")
+                    if b - a >= MIN_VALUE:
+                        found.append((a, b))
+            found += [m.span() for m in _KNOWN.finditer(text)] if k in known_rows else []
+            found += [m.span() for m in _PEM.finditer(text)] if b"PRIVATE KEY" in raw else []
             if found:
-                yield i + int(k), text, sorted(found)
+                yield i + int(k), text, _joined(found)
 
 
 def transitions(docs: DataFrame) -> np.ndarray:

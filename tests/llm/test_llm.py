@@ -248,6 +248,21 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0), model, secret_scan.transitions(docs.limit(0))).count() == 0
 
 
+def test_secrets_to_their_real_end(spark):
+    r = random.Random(7)
+    pick = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(chars) for _ in range(n))
+    jwt = "eyJ" + pick(30) + ".eyJ" + pick(500) + "." + pick(43)
+    secrets = [pick(400), jwt, "P@ssw0rd#2024!", "Tr0ub#dor&3", "a8F(k2;x<9,Q{z}7", pick(300) + "+/=", jwt, "ghp_" + pick(36, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), "AKIA" + pick(16, "ABCDEFGHIJKLMNOP"), "k9é#Zw4;Lm", "q7X\\\"v#93kLz", "Zx81kQ#77vbT"]
+    shapes = ['é api_key="{}" x', "token={} y", 'password="{}" z', "password='{}'", "secret: {}\nnext", "auth_token = {} end", "see {} there", "see {} there", "use {} here", 'pwd = "{}"', 'passwd="{}" w', '"password={}" v']
+    texts = [shape.replace("{}", x) for shape, x in zip(shapes, secrets, strict=True)]
+    for (_, text, spans), x in zip(secret_scan.candidates(pa.array(texts)), secrets, strict=True):
+        assert [text[a:b] for a, b in spans] == [x]
+    docs = docs_of(spark, texts)
+    log_p = secret_scan.transitions(docs)
+    out = {x["doc_id"]: x["text"] for x in secret_scan.redact(docs, secret_scan.fit(secret_scan.labelled_findings(), log_p), log_p).collect()}
+    assert [out[k] for k in range(len(texts))] == [shape.replace("{}", "[SECRET]") for shape in shapes]
+
+
 def test_forest_separates():
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 5))
