@@ -6,7 +6,9 @@ ends, and at a full stop before white space); wherever a sentence holds an ancho
 first words: licensed, license, copyright, ...), windows of 1 to SPAN sentences from there on are compared with every
 template, and the best cosine of THRESHOLD or more names the licence. Whole texts are read, not their first lines.
 
-A text is a licence file if its best window holds FILE_SHARE of its terms; otherwise a match is a header. A directory has
+The whole text is compared with the licences' full texts (``licences``, any number of lines): a cosine of FULL or more
+makes it a licence file. So does a best window that holds FILE_SHARE of its terms, and a match of THRESHOLD or more in a
+file named as licence files are (LICENSE, COPYING, ...); any other match is a header. A directory has
 the licence of its licence file (of the best score, then the least name); files without header or licence of their
 own inherit that of the nearest ancestor directory which has one. Ancestors are resolved for each distinct directory,
 by an equi-join on the path; no pairs of files are made.
@@ -18,6 +20,7 @@ each; ties go to the least licence id; an empty table gives no rows. Columns oth
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch, table
 
-THRESHOLD, FILE_SHARE, SPAN = 0.6, 0.8, 6
+THRESHOLD, FILE_SHARE, SPAN, FULL = 0.6, 0.8, 6, 0.9
 #: Short notices as the licences' own texts recommend them.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -57,50 +60,83 @@ def terms(s: str) -> list[str]:
 
 VOCABULARY = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})
 _PLACE = {t: k for k, t in enumerate(VOCABULARY)}
+_NAME = re.compile(r"(?i)(?:.*/)?(?:(?:un)?licen[cs]e|copying)(?:[-_.](?!.*\b(?:py|js|ts|java|c|h|cc|cpp|hpp|go|rs|rb|sh|php|cs|kt|json|xml|ya?ml|css)$)[^/]*)?")
+
+
+def _full_texts() -> dict[str, str]:
+    """The full texts at hand; those of four licences are made from their nearest relative, from which they differ in few terms."""
+    out = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in resources.files(__package__).joinpath("licences").iterdir() if f.name.endswith(".txt")}
+    out["AGPL-3.0"] = re.sub(r"(?i)\bGNU\s+General\b", "GNU Affero General", out["GPL-3.0"])
+    out["CC-BY-4.0"] = re.sub(r"(?i)-?sharealike", "", out["CC-BY-SA-4.0"])
+    out["CC-BY-NC-4.0"] = re.sub(r"(?i)sharealike", "NonCommercial", out["CC-BY-SA-4.0"])
+    out["BSD-2-Clause"] = re.sub(r"(?s)\n3\. .*?\n\n", "\n\n", out["BSD-3-Clause"])
+    return dict(sorted(out.items()))
+
+
+FULL_TEXTS = _full_texts()
+#: Terms whose documents are counted: the notices' (VOCABULARY), then those that only the full texts have.
+COUNTED = VOCABULARY + sorted({t for x in FULL_TEXTS.values() for t in terms(x)} - set(VOCABULARY))
+_COUNTED_PLACE = {t: k for k, t in enumerate(COUNTED)}
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Rows, and in how many of them each term of the vocabulary is."""
+    """Rows, and in how many of them each counted term is."""
 
     def run(batches):
-        n, df, wanted = 0, np.zeros(len(VOCABULARY), np.int64), set(VOCABULARY)
+        n, df, wanted = 0, np.zeros(len(COUNTED), np.int64), set(COUNTED)
         for b in batches:
             for t in b["text"]:
                 n += 1
                 for w in wanted & set(terms(t.as_py() or "")):
-                    df[_PLACE[w]] += 1
+                    df[_COUNTED_PLACE[w]] += 1
         yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *range(len(df))], pa.int64()), "n": pa.array([n, *df], pa.int64())})
 
     got = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term")["n"]  # a row for each term
-    return int(got.get(-1, 0)), np.array([got.get(k, 0) for k in range(len(VOCABULARY))], np.int64)
+    return int(got.get(-1, 0)), np.array([got.get(k, 0) for k in range(len(COUNTED))], np.int64)
 
 
 class Model:
     def __init__(self, rows: int, df: np.ndarray):
-        self.idf = np.log((1 + rows) / (1 + df)) + 1
+        self.full_idf = np.log((1 + rows) / (1 + df)) + 1
+        self.idf = self.full_idf[: len(VOCABULARY)]
         self.unknown = float(np.log((1 + rows) / 2) + 1) if rows else 1.0
         self.names = [name for name, texts in sorted(TEMPLATES.items()) for _ in texts]
         self.matrix = np.stack([self.vector(terms(x))[0] for _, texts in sorted(TEMPLATES.items()) for x in texts])
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
-
-    def vector(self, words: list[str]) -> tuple[np.ndarray, float]:
-        """TF-IDF over the vocabulary, and the square of the norm of the rest."""
-        v, others = np.zeros(len(VOCABULARY)), {}
+        self.full_names = list(FULL_TEXTS)
+        self.full = np.stack([self.vector(terms(x), _COUNTED_PLACE, self.full_idf)[0] for x in FULL_TEXTS.values()])
+        self.full /= np.linalg.norm(self.full, axis=1, keepdims=True)
+
+    def vector(self, words: list[str], place: dict[str, int] | None = None, idf: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """TF-IDF over the vocabulary (the notices' if none is given), and the square of the norm of the rest."""
+        place, idf = (_PLACE, self.idf) if place is None else (place, idf)
+        v, others = np.zeros(len(idf)), {}
         for w in words:
-            k = _PLACE.get(w)
+            k = place.get(w)
             if k is None:
                 others[w] = others.get(w, 0) + 1
             else:
                 v[k] += 1
-        return v * self.idf, sum((c * self.unknown) ** 2 for c in others.values())
+        return v * idf, sum((c * self.unknown) ** 2 for c in others.values())
+
+    def whole(self, words: list[str]) -> tuple[str, float]:
+        """The licence whose full text is nearest to all the words, and the cosine."""
+        v, rest = self.vector(words, _COUNTED_PLACE, self.full_idf)
+        scores = np.round(self.full @ v / np.sqrt((v * v).sum() + rest), 6)
+        at = int(scores.argmax())
+        return self.full_names[at], float(scores[at])
 
-    def best(self, text: str) -> tuple[str | None, float, bool]:
+    def best(self, text: str, path: str = "") -> tuple[str | None, float, bool]:
         """Licence, cosine and whether the text is a licence file."""
         if not _ANCHOR.search(text):
             return None, 0.0, False
         parts = [terms(p) for p in _SENTENCE.split(text)]
         parts = [p for p in parts if p]
         total = sum(map(len, parts))
+        name, score = self.whole([w for p in parts for w in p])
+        named = _NAME.fullmatch(path) is not None
+        if score >= FULL or named and score >= THRESHOLD:
+            return name, score, True
         found: tuple[float, str | None, int] = (0.0, None, 0)
         for i, p in enumerate(parts):
             if not any(_ANCHOR.search(w) for w in p):
@@ -118,7 +154,7 @@ class Model:
                         break
         if found[0] < THRESHOLD:
             return None, found[0], False
-        return found[1], found[0], found[2] >= FILE_SHARE * total
+        return found[1], found[0], named or found[2] >= FILE_SHARE * total
 
 
 def own_licences(docs: DataFrame) -> DataFrame:
@@ -127,7 +163,7 @@ def own_licences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [model.best(t.as_py() or "") for t in b["text"]]
+            got = [model.best(t.as_py() or "", p.as_py() or "") for t, p in zip(b["text"], b["path"], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["path"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], ["doc_id", "path", "license", "score", "is_file"])
 
     return docs.select("doc_id", "path", "text").mapInArrow(run, "doc_id bigint, path string, license string, score double, is_file boolean")
