@@ -59,10 +59,14 @@ def tilt(total, target):
     return F.when((total > 0) & (target > 0), F.round(F.exp(step), 9)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every row of (doc_id, text, source)."""
+def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and taken of every row of (doc_id, text, source).
+
+    whole: with all other columns of docs, but for those that have a result's name.
+    """
+    held = [F.struct(*docs.columns).alias("doc")] if whole else []
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *held)
     sized = scratch.write(_cell_columns(sized), "sized")
     cells = sized.groupBy("source", "class", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
     cells = scratch.write(cells, "cells")
@@ -72,11 +76,13 @@ def mix(docs: DataFrame) -> DataFrame:
     cells = cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     cells = cells.alias("c").join(rates.alias("r"), F.expr("c.source <=> r.source")).select("c.source", "class", "bucket", "before", "source_size", "target", "rate")
     out = sized.alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source AND d.class = c.class AND d.bucket = c.bucket"))
-    out = out.select("d.doc_id", "d.source", "d.class", "d.bucket", "d.size", "before", "source_size", "target", "rate")
+    out = out.select("d.doc_id", "d.source", "d.class", "d.bucket", "d.size", "before", "source_size", "target", "rate", *["d.doc"] * whole)
     k = F.col("before") + F.row_number().over(Window.partitionBy("source", "class", "bucket").orderBy("size", "doc_id"))
     at = lambda n: F.floor(F.col("rate") * n + 0.5)
     out = out.withColumn("k", k).withColumn("copies", (at(F.col("k")) - at(F.col("k") - 1)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    results = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]
+    others = [F.col("doc")[c].alias(c) for c in docs.columns if c not in results] if whole else []
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*results, *others)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +90,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: how often each document is taken."""
-    return mix(docs)
+    """The mix itself: the documents that are taken, with all their columns, and how often each is."""
+    return mix(docs, whole=True).where("copies > 0")
 
 
 ORACLES = {

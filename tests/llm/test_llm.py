@@ -129,6 +129,18 @@ def test_mixing(spark, duck):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_the_mix_holds_the_documents(spark, sf):
+    from collections import Counter
+
+    texts = [prose(k, 1 + k % 50) for k in range(400)]
+    docs = docs_of(spark, texts)
+    rates = mixing.mix(docs).collect()
+    got = mixing.stage(spark, docs, sf).collect()
+    assert Counter((r["doc_id"], r["copies"], r["taken"]) for r in got) == Counter((r["doc_id"], r["copies"], r["taken"]) for r in rates if r["copies"])
+    assert len(got) < len(rates) and {(r["doc_id"], r["text"], r["lang"]) for r in got} <= {(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()}
+    assert mixing.stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_newton_reaches_the_dual_optimum(spark):
     from pyspark.sql import functions as F
 
