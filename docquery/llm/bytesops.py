@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U64 = np.uint64
 #: An odd multiplier, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -98,11 +98,11 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span. Long buffers are worked on piece by piece; spans never straddle two pieces."""
-    if len(buf) <= 4 * SLICE or not len(starts):
+    if len(buf) <= 16 * SLICE or not len(starts):
         return span_hashes(prefix_sums(buf), starts, ends)
     out, i = np.empty(len(starts), U64), 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 4 * SLICE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 16 * SLICE, "right")))
         lo, hi = starts[i], ends[j - 1]
         out[i:j] = span_hashes(prefix_sums(buf[lo:hi]), starts[i:j] - lo, ends[i:j] - lo)
         i = j
