@@ -229,6 +229,38 @@ def test_jaccard_components(spark, monkeypatch, seed, frequent, block):
     assert jaccard_join.link(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def brute_components(texts: list[str]) -> tuple[list[int], list[int]]:
+    """Set size and least index of the component of each text."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 80 * len(a | b)]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in links:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                moved = True
+    return [len(x) for x in sets], label
+
+
+def test_a_token_that_all_have(spark):
+    """Texts that share most of their shingles and aren't linked, among them some links; ids of one byte, so that digests clash."""
+    common = prose(1, 40, 10_000)
+    texts = [common + " " + prose(k, 14 + k % 3, 10_000) for k in range(2, 500)]
+    texts += [t + " z" for t in texts[:40]] + [prose(k, 60, 10_000) + " " + common for k in range(900, 960)] + [prose(77, 30_000)] * 2 + [prose(77, 30_000) + " z"]
+    jaccard_join.ID_BYTES, old = 1, jaccard_join.ID_BYTES
+    try:
+        got = {r["doc_id"]: r for r in jaccard_join.link(docs_of(spark, texts)).collect()}
+    finally:
+        jaccard_join.ID_BYTES = old
+    sizes, label = brute_components(texts)
+    assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in range(len(texts))] == list(zip(sizes, label, strict=True))
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["comp"] for r in components(e, Scratch(spark, "t"), "c").collect()}
