@@ -1,20 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, A-Z lower-cased. An item's seeds are its SEED-word n-grams (items with fewer
-words have one seed, the whole). A first scan counts the documents that hold each seed; a seed found in over COMMON
-documents and over RATIO times the median of its item's seeds is common, the others are rare. A second scan looks up
-all seeds; around each hit a window of the document, wide enough for any alignment through the hit that reaches
-THRESHOLD, is aligned with the item, and the local alignment's score over the score of a perfect copy is kept where it
-reaches THRESHOLD. A window with common seeds alone is aligned only if it holds enough of the item's words for such a
-score, which saves time and loses nothing: how frequent a seed is never decides on a document.
-A copy without any seed (no SEED words of the item in a row) isn't looked for.
+Words are runs of letters and digits, A-Z lower-cased. An item of m words has m - 1 seeds, its pairs of adjacent words; a document
+holds a seed where the two words follow each other, or stand one word apart. An alignment whose score is at least THRESHOLD of a
+perfect copy's holds at least need(m) seeds at different places of the item: with h of them, a matched words, and p places where the
+item goes on by more than one word, its score is at most 2 + 2 h + p, and a + p <= m, p <= a - 1 - h. (Items so short that this
+asks for none have their single words as seeds.) So a document without any of an item's (seeds - need + 1) rarest seeds holds no
+such copy. A first scan counts the documents that hold each seed; a second one joins documents and items by the rare seeds, counts
+all seeds of the joined items, and where need(m) of them are within the reach of one alignment, aligns. Nothing that
+reaches the threshold is missed, however frequent its words are.
 
 The test items are the stated query set: they are taken in blocks of at most BLOCK_WORDS words, each small enough
 to be sent to every task; documents are never shuffled. Whole texts are scanned.
 
 Defined results: null or empty texts and items match nothing; items equal in words each give a row; repeated
-documents give rows each; empty tables give no rows; other columns aren't read. A document longer than memory's
-share is the only limit.
+documents give rows each; ties between alignments go to the first; empty tables give no rows; other columns aren't read.
+Memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -28,59 +28,84 @@ from pyspark.sql import types as T
 from . import bytesops as bo
 from .tables import table
 
-SEED, COMMON, RATIO, THRESHOLD, BLOCK_WORDS = 3, 20, 8, 0.5, 1 << 20
+THRESHOLD, BLOCK_WORDS = 0.5, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = bo.LETTERS.copy()
 WORD[48:58] = True
 
 
 def words_of(texts: pa.Array):
-    """(row, word hashes) of each text."""
+    """(first row, word hashes, row of each word within the slice, rows) of each slice of the texts."""
     for i, j, buf, offs in bo.slices(texts):
         low = bo.LOWER[buf]
         starts, ends, rows = bo.spans(WORD[low], offs)
-        words = bo.word_hashes(low, starts, ends)
-        cut = np.searchsorted(rows, np.arange(j - i + 1))
-        for k in range(j - i):
-            yield i + k, words[cut[k] : cut[k + 1]]
+        yield i, bo.word_hashes(low, starts, ends), rows, j - i
 
 
-def _seeds(words: np.ndarray, n: int) -> np.ndarray:
-    return bo.grams(words, np.zeros(len(words), np.int64), n)[0]
+def need(m: int, threshold: float = THRESHOLD) -> int:
+    """The least number of an item's seeds in an alignment that reaches the threshold; 0 if there may be none."""
+    return max(0, int(np.ceil((threshold * MATCH * m - 2 - (m - 1) / 2) / 1.5 - 1e-9)))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return bo.mix(a * bo.PLACES[0] + b * bo.PLACES[1])
 
 
 class Items:
-    """A block of test items: ids, words and a sorted index of seeds (hash, item, place)."""
-
-    def __init__(self, ids: list, texts: list):
-        found = [(i, w) for i, (_, w) in zip(ids, words_of(pa.array(texts, pa.string())), strict=True) if len(w)]
-        self.ids, self.words = [i for i, _ in found], [w for _, w in found]
-        seeds = [(_seeds(w, min(SEED, len(w))), k, min(SEED, len(w))) for k, w in enumerate(self.words)]
-        self.hash = np.concatenate([s for s, _, _ in seeds]) if seeds else np.zeros(0, bo.U64)
-        self.item = np.concatenate([np.full(len(s), k) for s, k, _ in seeds]) if seeds else np.zeros(0, np.int64)
-        self.place = np.concatenate([np.arange(len(s)) for s, _, _ in seeds]) if seeds else np.zeros(0, np.int64)
+    """A block of test items: ids, words and seeds (hash, item, place) in order of the hash; rare: those that join."""
+
+    def __init__(self, ids: list, texts: list, threshold: float = THRESHOLD):
+        self.threshold, self.ids, self.words = threshold, [], []
+        for i, words, rows, n in words_of(pa.array(texts, pa.string())):
+            cut = np.searchsorted(rows, np.arange(n + 1))
+            for k in range(n):
+                if cut[k + 1] > cut[k]:
+                    self.ids.append(ids[i + k])
+                    self.words.append(words[cut[k] : cut[k + 1]])
+        pairs = [need(len(w), threshold) for w in self.words]
+        self.need = np.array([n or max(1, int(np.ceil(threshold * len(w) - 1e-9))) for n, w in zip(pairs, self.words, strict=True)], np.int64)
+        seeds = [_pair(w[:-1], w[1:]) if n else bo.mix(w) for n, w in zip(pairs, self.words, strict=True)]
+        self.single = not all(pairs)
+        sizes = np.array([len(x) for x in seeds], np.int64)
+        self.hash = np.concatenate([*seeds, np.zeros(0, bo.U64)])
+        self.item = np.repeat(np.arange(len(seeds)), sizes)
+        self.place = np.arange(len(self.hash)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
-        self.sizes = sorted({n for _, _, n in seeds})
-        self.rare = np.ones(len(self.hash), bool)
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into the seeds, place in the document) of each occurrence of a seed."""
-        out = []
-        for n in self.sizes:
-            g = _seeds(words, n)
-            lo = np.searchsorted(self.hash, g, "left")
-            lo[lo == len(self.hash)] = 0
-            at = np.flatnonzero(self.hash[lo] == g) if len(self.hash) else np.zeros(0, np.int64)
-            hi = np.searchsorted(self.hash, g[at], "right")
-            size = hi - lo[at]
-            if len(at):
-                start = np.repeat(lo[at], size)
-                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                out.append((start + step, np.repeat(at, size)))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        self.distinct = np.unique(self.hash)
+        self.joining(np.zeros(len(self.distinct), np.int64))
+
+    def joining(self, counts: np.ndarray) -> Items:
+        """counts: documents that hold each of the distinct seeds; as many of an item's rarest seeds as no copy can do without join."""
+        often = counts[np.searchsorted(self.distinct, self.hash)]
+        order = np.lexsort((self.place, self.hash, often, self.item))
+        seeds = np.bincount(self.item, minlength=len(self.ids))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(seeds) - seeds, seeds)
+        chosen = np.sort(order[rank <= (seeds - self.need)[self.item[order]]])
+        self.rare_hash, self.rare_item = self.hash[chosen], self.item[chosen]
+        return self
+
+    def grams(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each seed that the words could hold, and the index of its first word."""
+        hashes, at = [], []
+        for d in (1, 2):
+            k = np.flatnonzero(rows[:-d] == rows[d:]) if len(rows) > d else np.zeros(0, np.int64)
+            hashes.append(_pair(words[k], words[k + d]))
+            at.append(k)
+        if self.single:
+            hashes.append(bo.mix(words))
+            at.append(np.arange(len(words)))
+        return np.concatenate(hashes), np.concatenate(at)
+
+
+def _equal(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into hashes, index into the sorted table) of each pair of equal ones."""
+    lo, hi = np.searchsorted(table, hashes, "left"), np.searchsorted(table, hashes, "right")
+    at = np.flatnonzero(hi > lo)
+    size = hi[at] - lo[at]
+    ends = np.cumsum(size)
+    return np.repeat(at, size), np.repeat(lo[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -97,32 +122,46 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(words: np.ndarray, items: Items, threshold: float = THRESHOLD) -> list[tuple]:
-    """(item id, score, first word, word after the last) of the best alignment of each item that reaches the threshold."""
-    seed, at = items.hits(words)
-    if not len(seed):
-        return []
-    out = []
-    item, offset = items.item[seed], at - items.place[seed]
-    for k in np.unique(item):
-        target = items.words[k]
-        m = len(target)
-        pad = int(np.ceil(MATCH * m * (1 - threshold) / -GAP))  # no more gaps than this leave a score of the threshold
-        mine = item == k
-        diagonals, rare = np.unique(offset[mine]), np.unique(offset[mine & items.rare[seed]])
-        groups = np.split(diagonals, np.flatnonzero(np.diff(diagonals) > 2 * pad) + 1)
-        best = (0.0, 0, 0)
-        for g in groups:
-            lo, hi = max(0, int(g[0]) - pad), min(len(words), int(g[-1]) + m + pad)
-            if np.searchsorted(rare, g[0], "left") == np.searchsorted(rare, g[-1], "right") and np.isin(target, words[lo:hi]).sum() < threshold * m:
-                continue
-            score, end = align(words[lo:hi], target)
-            if score / (MATCH * m) > best[0]:
-                _, back = align(words[lo : lo + end][::-1], target[::-1]) if score >= threshold * MATCH * m else (0, 0)
-                best = (score / (MATCH * m), lo + end - back, lo + end)
-        if best[0] >= threshold:
-            out.append((items.ids[k], round(best[0], 6), best[1], best[2]))
-    return out
+def _best(words: np.ndarray, items: Items, k: int, hashes: np.ndarray, at: np.ndarray) -> tuple | None:
+    """(item id, score, first word, word after the last) of item k's best alignment with a document's words, if it reaches the threshold."""
+    target, mine = items.words[k], np.flatnonzero(items.item == k)
+    m, least = len(target), int(items.need[k])
+    found, seed = _equal(items.hash[mine], hashes)
+    place = items.place[mine][seed]
+    if len(np.unique(place)) < least:
+        return None
+    pad = int(np.ceil(MATCH * m * (1 - items.threshold) / -GAP))  # no more gaps than this leave a score of the threshold
+    offset = np.sort(at[found] - place)
+    # starts of runs of `least` seeds whose diagonals one alignment can reach
+    close = np.flatnonzero(offset[least - 1 :] - offset[: len(offset) - least + 1] <= pad)
+    best = (0.0, 0, 0)
+    spans: list[list[int]] = []
+    for lo, hi in zip(offset[close], offset[close + least - 1], strict=True):
+        lo, hi = max(0, int(lo) - pad), min(len(words), int(hi) + m + pad)
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    for lo, hi in spans:
+        score, end = align(words[lo:hi], target)
+        if score / (MATCH * m) > best[0]:
+            _, back = align(words[lo : lo + end][::-1], target[::-1]) if score >= items.threshold * MATCH * m else (0, 0)
+            best = (score / (MATCH * m), lo + end - back, lo + end)
+    return (items.ids[k], round(best[0], 6), best[1], best[2]) if best[0] >= items.threshold else None
+
+
+def matches(texts: pa.Array, items: Items):
+    """(row, [(item id, score, first word, word after the last)]) of each text that holds copies of items."""
+    for i, words, rows, n in words_of(texts):
+        hashes, at = items.grams(words, rows)
+        gram, seed = _equal(items.rare_hash, hashes)
+        joined = np.unique(rows[at[gram]] * len(items.ids) + items.rare_item[seed])
+        for r in np.unique(joined // len(items.ids)) if len(joined) else ():
+            a, b = np.searchsorted(rows, (r, r + 1))
+            hashes, at = items.grams(words[a:b], rows[a:b])
+            found = [_best(words[a:b], items, k, hashes, at) for k in joined[joined // len(items.ids) == r] % len(items.ids)]
+            if found := [x for x in found if x]:
+                yield i + int(r), found
 
 
 def blocks(benchmark: DataFrame) -> list[Items]:
@@ -139,31 +178,26 @@ def blocks(benchmark: DataFrame) -> list[Items]:
 
 
 def count_seeds(docs: DataFrame, items: Items) -> np.ndarray:
-    """How many rows of docs hold each seed of the block."""
+    """How many rows of docs hold each of the block's distinct seeds."""
 
     def run(batches):
-        n = np.zeros(len(items.hash), np.int64)
+        n = np.zeros(len(items.distinct), np.int64)
         for b in batches:
-            for _, words in words_of(b["text"]):
-                n[np.unique(items.hits(words)[0])] += 1
+            for _, words, rows, _ in words_of(b["text"]):
+                hashes, at = items.grams(words, rows)
+                gram, seed = _equal(items.distinct, hashes)
+                n += np.bincount(np.unique(rows[at[gram]] * max(1, len(n)) + seed) % max(1, len(n)), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"seed": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
 
     counted = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each seed of the block
-    out = np.zeros(len(items.hash), np.int64)
+    out = np.zeros(len(items.distinct), np.int64)
     out[counted["seed"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
 def counted_blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
-    out = blocks(benchmark)
-    for items in out:
-        n = count_seeds(docs, items)
-        median = np.zeros(len(items.ids))
-        for k in range(len(items.ids)):
-            median[k] = np.median(n[items.item == k])
-        items.rare = (n <= COMMON) | (n <= RATIO * median[items.item])
-    return out
+    return [items.joining(count_seeds(docs, items)) for items in blocks(benchmark)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -173,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, items=items):
             for b in batches:
-                rows = [(b["doc_id"][r].as_py(), *m) for r, words in words_of(b["text"]) for m in matches(words, items)]
+                rows = [(b["doc_id"][r].as_py(), *m) for r, found in matches(b["text"], items) for m in found]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -190,8 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, items=items):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for r, words in words_of(b["text"]):
-                    keep[r] = not matches(words, items)
+                keep[[r for r, _ in matches(b["text"], items)]] = False
                 yield b.filter(pa.array(keep))
 
         kept = kept.mapInArrow(run, T.StructType(list(docs.schema.fields)))

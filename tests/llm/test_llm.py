@@ -410,6 +410,29 @@ def test_frequent_copies_are_found(spark, case):
     assert len(want) > 20
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_no_copy_is_missed(seed):
+    """Edits of every kind and density, short items among them, against the full table."""
+    r = random.Random(seed)
+    words = [f"v{k}" for k in range(12 if seed == 2 else 3000)]
+    items = [" ".join(r.choice(words) for _ in range(n)) for n in (1, 2, 3, 4, 5, 8, 13, 21, 40)]
+    texts = []
+    for k in range(250):
+        target, out = items[k % len(items)].split(), [r.choice(words) for _ in range(r.randrange(30))]
+        rate, kind = r.choice((0, 0.15, 0.33, 0.5, 0.8)), r.randrange(4)
+        for place, w in enumerate(target):
+            hit = r.random() < rate if kind < 3 else place % 3 == 2
+            out += ([w, r.choice(words)] if kind == 0 else [r.choice(words)] if kind in (1, 3) else []) if hit else [w]
+        texts.append(" ".join(out + [r.choice(words) for _ in range(r.randrange(30))]))
+    texts += [" ".join(" zz ".join(x.split()) for x in items), ""]
+    want = {(k, i): x for k, t in enumerate(texts) for i, item in enumerate(items) if (x := brute_matches(t, item)) >= 0.5}
+    block = decontam.Items(list(range(len(items))), items)
+    rng = np.random.default_rng(seed)
+    for counts in (np.zeros(len(block.distinct), np.int64), rng.integers(0, 1000, len(block.distinct))):
+        got = {(k, m[0]): m[1] for k, found in decontam.matches(pa.array([*texts, None]), block.joining(counts)) for m in found}
+        assert got == want and len(want) > 100
+
+
 def test_alignment_against_the_full_table():
     r = np.random.default_rng(3)
     for _ in range(30):
