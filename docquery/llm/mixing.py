@@ -1,15 +1,16 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions alone.
 
-Every document i of source s is taken at a rate r_i; among all rates with sum(size_i * r_i) = target_s, the
-token-weighted relative entropy sum(size_i * (r_i ln r_i - r_i + 1)) is least at r_i = exp(lambda_s), where
-lambda maximises the concave dual sum(target_s * lambda_s) - sum(size_i * exp(lambda_s)). The dual's gradient
-and its diagonal Hessian need the corpus only through each source's token count, so one distributed
-aggregation serves all Newton iterations, which run as an expression on the row of each source.
-
-Rates become copies by systematic rounding: a source's documents are ranked by size class, and the k-th gets
-floor(r * k + 1/2) - floor(r * (k - 1) + 1/2) copies. Neighbours in rank are of about equal size, so the
-words taken miss the target by little more than one document. Ranks come from counts of cells (source, size
-class, bucket of doc_id) plus a row number within a cell, so that a source with a third of all rows, or a
+Document i of source s is taken at a rate r_i of CAP at most. Among all rates with sum(size_i * r_i) = target_s, the
+relative entropy to taking each once, sum(r_i ln r_i - r_i + 1), is least at r_i = min(CAP, exp(lambda_s * size_i)): rates are
+exponentially tilted by the document's own size. lambda_s is where the convex dual's gradient, target_s - sum(size_i * r_i), is zero.
+Newton's iterations find it for all sources at once; gradient and Hessian of each are an aggregation of the (source, size,
+documents) table, into which one scan of the corpus is aggregated. An iterate that leaves the bracket known so far is replaced by
+the bracket's middle. States of the iterations are written tables, so lineage stays short.
+
+Rates become copies by systematic rounding: with a source's documents in order of size, and c the sum of the rates so far
+(exact decimals), a document gets floor(c + 1/2) - floor(c - r + 1/2) copies, at most CAP. Neighbours in that order are of about
+equal size, so the words taken miss the target by little more than one document. Sums before a document come from counts
+of cells (source, size, bucket of doc_id) plus a row number within a cell, so that a source with a third of all rows, or a
 third of all rows of one size, is no single task.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and share SHARE times all words;
@@ -27,18 +28,10 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch, table
 
-WEIGHTS, SHARE, CAP, BUCKETS, NEWTON = (5, 2, 1), 1.5, 2.0, 256, 60
+WEIGHTS, SHARE, CAP, BUCKETS, NEWTON, EXACT = (5, 2, 1), 1.5, 2.0, 256, 100, 1e-12
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def _cell_columns(df: DataFrame) -> DataFrame:
-    """Size class: the bit length of the size and its four bits after the first; bucket: of the MD5 of doc_id."""
-    bits = F.length(F.bin("size"))
-    return df.withColumn("class", (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0)) & 15")).cast("int")).withColumn(
-        "bucket", F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(0)) % BUCKETS
-    )
-
-
 def targets(sources: DataFrame) -> DataFrame:
     """Adds `target` to (source, source_size). One row a source, so a window over all of them is small."""
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -53,10 +46,35 @@ def targets(sources: DataFrame) -> DataFrame:
     return out.select("source", "source_size", F.round(F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))), 6).alias("target"))
 
 
-def tilt(total, target):
-    """exp(lambda): Newton's iterations on the dual, lambda <- lambda + (target - total * exp(lambda)) / (total * exp(lambda))."""
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.lit(0.0), lambda lam, _: lam + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), target / (total * F.exp(lam)) - 1)))
-    return F.when((total > 0) & (target > 0), F.round(F.exp(step), 9)).otherwise(F.lit(0.0))
+def tilted(size, lam):
+    """The rate of a document; without lam, its source is taken whole to the cap."""
+    return F.when(size <= 0, 0.0).otherwise(F.coalesce(F.least(F.lit(CAP), F.exp(lam * size)), F.lit(CAP)))
+
+
+def solve(sizes: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds `lam` to goals (source, source_size, target), from sizes (source, size, rows); null where the target is the cap.
+
+    sum(size * exp(lam * size)) lies between the bracket's ends: at ln(target / source_size) below 0 each document of a word or more
+    takes that share of its words at most, at ln CAP each is at its cap.
+    """
+    total = F.col("source_size").cast("double")
+    state = goals.where((F.col("target") > 0) & (F.col("target") < CAP * total)).select("source", "target", F.lit(0.0).alias("lam"), F.least(F.lit(0.0), F.log(F.col("target") / total)).alias("lo"), F.log(F.lit(CAP)).alias("hi"), F.lit(True).alias("open"))
+    size, lam = F.col("size").cast("double"), F.col("lam")
+    for k in range(NEWTON):
+        rate = F.least(F.lit(CAP), F.exp(lam * size))
+        slope = F.when(lam * size < F.log(F.lit(CAP)), F.col("rows") * size * size * rate).otherwise(0.0)
+        at = sizes.alias("c").join(state.alias("s"), F.expr("c.source <=> s.source")).groupBy("s.source", "target", "lam", "lo", "hi").agg(F.sum(F.col("rows") * size * rate).alias("f"), F.sum(slope).alias("d"))
+        at = at.withColumn("lo", F.when(F.col("f") < F.col("target"), lam).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("f") < F.col("target"), F.col("hi")).otherwise(lam))
+        step = lam + (F.col("target") - F.col("f")) / F.col("d")
+        inside = (F.col("d") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
+        middle = (F.col("lo") + F.col("hi")) / 2
+        done = (F.abs(F.col("target") - F.col("f")) <= EXACT * F.col("target")) | (middle <= F.col("lo")) | (middle >= F.col("hi"))
+        state = scratch.write(at.select("source", "target", F.when(done, lam).when(inside, step).otherwise(middle).alias("lam"), "lo", "hi", (~done).alias("open")), f"newton-{k}")
+        if k:
+            scratch.drop(f"newton-{k - 1}")
+        if state.where("open").isEmpty():
+            break
+    return goals.alias("g").join(state.alias("s"), F.expr("g.source <=> s.source"), "left").select("g.source", "source_size", "g.target", "lam")
 
 
 def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -66,23 +84,28 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     """
     held = [F.struct(*docs.columns).alias("doc")] if whole else []
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *held)
-    sized = scratch.write(_cell_columns(sized), "sized")
-    cells = sized.groupBy("source", "class", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
-    cells = scratch.write(cells, "cells")
-    rates = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
-    rates = rates.withColumn("rate", tilt(F.col("source_size").cast("double"), F.col("target")))
-    before = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    cells = cells.alias("c").join(rates.alias("r"), F.expr("c.source <=> r.source")).select("c.source", "class", "bucket", "before", "source_size", "target", "rate")
-    out = sized.alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source AND d.class = c.class AND d.bucket = c.bucket"))
-    out = out.select("d.doc_id", "d.source", "d.class", "d.bucket", "d.size", "before", "source_size", "target", "rate", *["d.doc"] * whole)
-    k = F.col("before") + F.row_number().over(Window.partitionBy("source", "class", "bucket").orderBy("size", "doc_id"))
-    at = lambda n: F.floor(F.col("rate") * n + 0.5)
+    bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(0)) % BUCKETS
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), bucket.alias("bucket"), *held)
+    sized = scratch.write(sized, "sized")
+    cells = scratch.write(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("rows")), "cells")
+    sizes = scratch.write(cells.groupBy("source", "size").agg(F.sum("rows").alias("rows")), "sizes")
+    goals = scratch.write(targets(sizes.groupBy("source").agg(F.sum(F.col("rows") * F.col("size")).alias("source_size"))), "goals")
+    rates = solve(sizes, goals, scratch)
+    rate = F.round(tilted(F.col("size"), F.col("lam")), 9).cast("decimal(12,9)")
+    rates = sizes.alias("c").join(rates.alias("r"), F.expr("c.source <=> r.source")).select("c.source", "size", "rows", "source_size", "target", rate.alias("rate"))
+    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    rates = rates.withColumn("before", F.coalesce(F.sum((F.col("rate") * F.col("rows")).cast("decimal(28,9)")).over(smaller), F.lit(0)).cast("decimal(28,9)")).drop("rows")
+    former = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("first", F.coalesce(F.sum("rows").over(former), F.lit(0)))
+    cells = cells.alias("c").join(rates.alias("r"), F.expr("c.source <=> r.source AND c.size = r.size")).select("c.source", "c.size", "bucket", "first", "before", "source_size", "target", "rate")
+    out = sized.alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source AND d.size = c.size AND d.bucket = c.bucket"))
+    out = out.select("d.doc_id", "d.source", "d.bucket", "d.size", "first", "before", "source_size", "target", "rate", *["d.doc"] * whole)
+    k = F.col("first") + F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
+    at = lambda n: F.floor(F.col("before") + F.col("rate") * n.cast("decimal(16,0)") + F.lit("0.5").cast("decimal(2,1)"))
     out = out.withColumn("k", k).withColumn("copies", (at(F.col("k")) - at(F.col("k") - 1)).cast("long"))
     results = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]
     others = [F.col("doc")[c].alias(c) for c in docs.columns if c not in results] if whole else []
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*results, *others)
+    return out.withColumn("rate", F.col("rate").cast("double")).withColumn("taken", F.col("copies") * F.col("size")).select(*results, *others)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +119,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 ORACLES = {
     "op3_mixing": r"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
-), classed AS (
-  SELECT *, length(bin(size)) * 16 + ((size >> greatest(length(bin(size)) - 5, 0)) & 15) AS class,
-         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 2))::INT, 0) % 256 AS bucket FROM sized
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 2))::INT, 0) % 256 AS bucket FROM documents
 ), sources AS (
   SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap
   FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM sized GROUP BY source)
@@ -110,13 +131,23 @@ WITH sized AS (
 ), levels AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources) - filled) / rest_w AS own FROM filling
 ), targets AS (
-  SELECT source, source_size, round(least(cap, coalesce((SELECT own FROM levels WHERE own * w <= cap ORDER BY cap / w, nth LIMIT 1) * w, cap)), 6) AS target FROM levels
+  SELECT source, nth, source_size, round(least(cap, coalesce((SELECT own FROM levels WHERE own * w <= cap ORDER BY cap / w, nth LIMIT 1) * w, cap)), 6) AS target FROM levels
+), sizes AS (
+  SELECT nth, size::DOUBLE AS size, count(*)::DOUBLE AS n FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL
+), bracket AS (  -- the dual's gradient is monotone: its root by halving
+  SELECT nth, target, least(0::DOUBLE, ln(target / source_size)) AS lo, ln(2::DOUBLE) AS hi, 0 AS k FROM targets WHERE target > 0 AND target < source_size * 2.0::DOUBLE
+  UNION ALL
+  SELECT nth, target, CASE WHEN f < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < target THEN hi ELSE (lo + hi) / 2 END, k + 1
+  FROM (SELECT b.nth, b.target, b.lo, b.hi, b.k, sum(s.n * s.size * least(2::DOUBLE, exp((b.lo + b.hi) / 2 * s.size))) AS f
+        FROM bracket b JOIN sizes s ON s.nth = b.nth WHERE b.k < 90 GROUP BY ALL)
 ), ranked AS (
-  SELECT c.doc_id, c.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN round(t.target / t.source_size, 9) ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY c.source ORDER BY c.class, c.bucket, c.size, c.doc_id) AS k
-  FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.nth, d.bucket,
+         round(CASE WHEN d.size = 0 THEN 0::DOUBLE ELSE coalesce(least(2::DOUBLE, exp((b.lo + b.hi) / 2 * d.size)), 2::DOUBLE) END, 9)::DECIMAL(28, 9) AS rate
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN bracket b ON b.nth = t.nth AND b.k = 90
+), summed AS (
+  SELECT *, sum(rate) OVER (PARTITION BY nth ORDER BY size, bucket, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::DECIMAL(28, 9) AS c FROM ranked
 )
-SELECT doc_id, size, source_size, target, ((floor(rate * k + 0.5::DOUBLE) - floor(rate * (k - 1) + 0.5::DOUBLE)) * size)::BIGINT AS taken FROM ranked
+SELECT doc_id, size, source_size, target, ((floor(c + 0.5::DECIMAL(2, 1)) - floor(c - rate + 0.5::DECIMAL(2, 1))) * size)::BIGINT AS taken FROM summed
 """
 }
 QUERIES = {"op3_mixing": op3_mixing}

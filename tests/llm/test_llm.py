@@ -142,10 +142,25 @@ def test_the_mix_holds_the_documents(spark, sf):
 
 
 def test_newton_reaches_the_dual_optimum(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(100.0, 1.0), (100.0, 200.0), (7.0, 7.0), (0.0, 0.0), (1e12, 3e11)], "s double, t double")
-    assert [r[0] for r in df.select(mixing.tilt(F.col("s"), F.col("t"))).collect()] == pytest.approx([0.01, 2, 1, 0, 0.3], abs=1e-8)
+    r = random.Random(4)
+    sizes = [(src, n, r.randrange(1, 9)) for src in ("a", "b", None, "d") for n in sorted({r.randrange(1, 20_000) for _ in range(60)})]
+    total = {src: sum(n * k for x, n, k in sizes if x == src) for src in ("a", "b", None, "d")}
+    share = {"a": 0.01, "b": 1.9, None: 1.0, "d": 2.0}
+    goals = [(src, total[src], total[src] * share[src]) for src in total]
+    got = mixing.solve(spark.createDataFrame(sizes, "source string, size bigint, rows bigint"), spark.createDataFrame(goals, "source string, source_size bigint, target double"), Scratch(spark, "t"))
+    lam = {x["source"]: x["lam"] for x in got.collect()}
+    assert lam["d"] is None and lam[None] == pytest.approx(0, abs=1e-12) and lam["a"] < 0 < lam["b"]
+    for src in ("a", "b", None):
+        assert sum(n * k * min(2, np.exp(lam[src] * n)) for x, n, k in sizes if x == src) == pytest.approx(total[src] * share[src], rel=1e-9)
+
+
+def test_rates_follow_the_documents_sizes(spark):
+    docs = docs_of(spark, [prose(k, 1 + k % 50) for k in range(400)])
+    rates = {(r["source"], r["size"]): r["rate"] for r in mixing.mix(docs).collect()}
+    assert len(set(rates.values())) > 50
+    for src in {k[0] for k in rates}:
+        own = [rates[k] for k in sorted((k for k in rates if k[0] == src and k[1] > 0), key=lambda k: k[1])]
+        assert own == sorted(own) or own == sorted(own, reverse=True)
 
 
 # --- 4
