@@ -1,19 +1,21 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Texts are lower-cased (ASCII and Latin-1 letters), every run of other bytes between letters is one space, and
-n-grams of 1 to 3 bytes are hashed to ``2 ** BITS`` features with value (1 + ln count) * idf, of unit length.
+Texts are lower-cased, every run of characters that aren't letters is one space, and
+n-grams of 1 to 3 characters are hashed to ``2 ** BITS`` features with value (1 + ln count) * idf, of unit length.
 The idf comes from all rows that may be learnt from. The model is fitted by follow-the-regularised-leader
-with elastic-net penalties on a bounded sample of them (``SAMPLE`` rows, those with the smallest hashes of
-doc_id); a fifth of the sample is set aside to calibrate the temperature of the softmax. Every row is then
+with elastic-net penalties on a bounded sample of them (``SAMPLE`` documents, those with the smallest hashes of
+doc_id; it bounds the number of languages too); a fifth of the sample is set aside to calibrate the temperature of the softmax. Every row is then
 predicted over its whole text in one scan.
 
 Defined results: a null text, or one without letter, is `und` with score 0; so is every row if nothing could
-be learnt. Repeated rows get equal results. Rows with null doc_id or lang teach nothing; an empty table
+be learnt. Repeated rows get equal results; of rows that share a doc_id the least (lang, text) teaches. Rows with null doc_id or lang teach nothing; an empty table
 gives no rows. Columns other than doc_id, text and (for learning) lang aren't read.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,34 +26,37 @@ from . import bytesops as bo
 from .ftrl import Ftrl, probabilities, temperature
 from .tables import Scratch, table
 
-BITS, SAMPLE, STEPS, MAX_CLASSES = 14, 4096, 16_000, 256
+BITS, SAMPLE, STEPS = 14, 4096, 16_000
 PENALTIES = {"alpha": 0.5, "beta": 1.0, "l1": 0.02, "l2": 0.02}
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def _counts(texts: pa.Array):
     """(row, feature indices, counts) of each text; no indices without letters."""
-    for i, j, buf, offs in bo.slices(texts):
-        low = bo.LOWER[buf]
-        if len(low):
-            latin = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
-            low[latin] += 32
-        letter = bo.LETTERS[low]
-        for k in range(j - i):
-            a, b = offs[k], offs[k + 1]
-            is_letter = letter[a:b]
-            if not is_letter.any() or not (is_letter & (low[a:b] < 128)).any() and not any(map(str.isalpha, buf[a:b].tobytes().decode("utf-8", "replace"))):
-                yield i + k, np.zeros(0, np.int64), np.zeros(0)
-                continue
-            x = np.where(is_letter, low[a:b], 32)
-            keep = np.ones(len(x), bool)
-            keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-            x = np.concatenate(([32], x[keep], [32])).astype(np.uint32)
-            two = x[:-1] | x[1:] << np.uint32(8) | np.uint32(1 << 24)
-            three = x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16) | np.uint32(2 << 24)
-            ids = np.concatenate((x, two, three)) * np.uint32(0x9E3779B1)
-            c = np.bincount((ids ^ ids >> np.uint32(15)) * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS), minlength=1 << BITS)
-            at = np.flatnonzero(c)
-            yield i + k, at, c[at]
+    letters = _letters()
+    for row, t in enumerate(texts):
+        x = np.frombuffer((t.as_py() or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_letter = letters[x]
+        if not is_letter.any():
+            yield row, np.zeros(0, np.int64), np.zeros(0)
+            continue
+        x = np.where(is_letter, x, np.uint32(32))
+        keep = np.ones(len(x), bool)
+        keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
+        x = np.concatenate(([32], x[keep], [32])).astype(np.uint32)
+        one = x * np.uint32(0x9E3779B1)
+        two = one[:-1] + x[1:] * np.uint32(0x85EBCA77) + np.uint32(1)
+        three = two[:-1] + x[2:] * np.uint32(0xC2B2AE3D) + np.uint32(1)
+        ids = np.concatenate((one, two, three))
+        ids = (ids ^ ids >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        c = np.bincount((ids ^ ids >> np.uint32(12)) * np.uint32(0x297A2D39) >> np.uint32(32 - BITS), minlength=1 << BITS)
+        at = np.flatnonzero(c)
+        yield row, at, c[at]
 
 
 def held_out(doc_id):
@@ -95,8 +100,7 @@ def train(docs: DataFrame) -> dict:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         order = bo.mix(pdf["doc_id"].to_numpy(np.int64).view(np.uint64))
         pdf = pdf.assign(order=order).sort_values(["order", "doc_id", "lang"]).reset_index(drop=True)
-        langs = sorted(pdf["lang"].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[:MAX_CLASSES])
-        pdf = pdf[pdf["lang"].isin(langs)]
+        langs = sorted(set(pdf["lang"]))
         y = [langs.index(x) for x in pdf["lang"]]
         xs = [(i, v) for i, v in zip(pdf["idx"], pdf["val"], strict=True)]
         calibrate = [k for k in range(len(y)) if k % 5 == 4]
@@ -112,7 +116,7 @@ def train(docs: DataFrame) -> dict:
         rows = [(-1, "", t), *[(-2, lang, float(i)) for i, lang in enumerate(langs)]]
         return pd.concat([pd.DataFrame(rows, columns=["idx", "lang", "w"]), pd.DataFrame({"idx": at.astype(np.int64), "lang": [langs[c] if c < len(langs) else "" for c in k], "w": w[at, k]})])
 
-    examples = allowed.join(F.broadcast(ids), "doc_id").mapInArrow(featured, "doc_id bigint, lang string, idx array<bigint>, val array<double>")
+    examples = allowed.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*").mapInArrow(featured, "doc_id bigint, lang string, idx array<bigint>, val array<double>")
     fitted = examples.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(fit, "idx bigint, lang string, w double").toPandas()
     langs = list(fitted[fitted["idx"] == -2].sort_values("w")["lang"])
     w = np.zeros((1 << BITS, max(1, len(langs))))

@@ -1,6 +1,6 @@
 """Secret scans: candidates from whole texts, and a random forest that removes false positives.
 
-Candidates are private-key blocks, tokens of at least MIN_TOKEN characters that mix letters and digits, credentials that
+Candidates are private-key blocks (as far as their grammar goes; without an end mark, to where the base64 ends), tokens of at least MIN_TOKEN characters that mix letters and digits, credentials that
 begin as known formats do, and whatever of MIN_VALUE characters or more a credential word assigns, of any length: to the
 closing quote in its line where a quote opens it, to the next white space otherwise. Candidates that overlap are one. The forest sees each candidate's length and character classes, its entropy, how likely its
 character transitions are in this corpus (bigram counts over all rows), how much of it dictionary words cover, its path
@@ -9,7 +9,7 @@ of known credential formats and of look-alikes such as checksums, versions, iden
 At most SAMPLE findings are learnt from.
 
 Defined results: null and empty texts have no candidates; repeated rows and repeated secrets give a row each; offsets are
-code points; an empty table gives no rows; a null path is an empty one. Columns other than doc_id, text and the path aren't read.
+code points; an empty table gives no rows; a null path is an empty one; without labelled findings every score is 0. Columns other than doc_id, text and the path aren't read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ _ASSIGNED = re.compile(r"(?i)(?:" + "|".join(map(re.escape, KEYWORDS)) + r")[\w-
 _LEAD, _BARE = re.compile(r">?\s{0,4}([\"']?)"), re.compile(r"\S*")
 _QUOTED = {q: re.compile(rf"(?:\\.|[^\\\r\n{q}])*+{q}") for q in "\"'"}
 _AROUND = re.compile(r"([\"'])[\w.-]*$")
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+#: A header, lines `Name: value`, base64 in lines or words of 16 characters or more (a shorter one last), and the end, if it is there.
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Z][\w-]+: [^\r\n]*)*(?:\s*[A-Za-z0-9+/=]{16,})*(?:\s*[A-Za-z0-9+/=]{1,15}(?=\s*-----END))?(?:\s*-----END [A-Z ]*PRIVATE KEY-----)?")
+_PEM_START = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PREFIX = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[opsu]_\w{20,}|xox[bap]-|sk_live_|AIza|eyJ")
 _KNOWN = re.compile(r"(?a)(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsu]_\w{20,}|(?:xox[bap]-|sk_live_|AIza|eyJ)[\w+/=-]*(?:\.[\w+/=-]+)*)")
@@ -77,11 +79,9 @@ def candidates(texts: pa.Array):
         ok = (ends - starts >= MIN_TOKEN) & (digits[ends] > digits[starts]) & (alpha[ends] > alpha[starts])
         marks = np.flatnonzero((buf == 61) | (buf == 58))
         mark_rows = np.searchsorted(offs, marks, "right") - 1
-        begin = np.flatnonzero(buf == 45)  # of -----BEGIN
-        begin = begin[: len(begin) - 4][(np.diff(begin, 4) == 4)] if len(begin) > 4 else begin[:0]
-        known = np.array([m.start() for m in _KNOWN_START.finditer(buf.tobytes())], np.int64)
+        known = np.array([m.start() for pattern in (_KNOWN_START, _PEM_START) for m in pattern.finditer(buf.tobytes())], np.int64)
         known_rows = np.searchsorted(offs, known, "right") - 1
-        for k in np.unique(np.concatenate((rows[ok], mark_rows, known_rows, np.searchsorted(offs, begin, "right") - 1))):
+        for k in np.unique(np.concatenate((rows[ok], mark_rows, known_rows))):
             raw = buf[offs[k] : offs[k + 1]].tobytes()
             text = raw.decode("utf-8", "replace")
             places = np.arange(len(raw) + 1) if len(text) == len(raw) else np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
@@ -172,6 +172,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int
 
 def fit(findings: list[tuple[str, str, int, int, int]], log_p: np.ndarray) -> Forest:
     findings = findings[:SAMPLE]
+    if not findings:
+        return Forest()
     return Forest().fit(np.array([features(t, a, b, p, log_p) for t, p, a, b, _ in findings]), np.array([x[4] for x in findings]))
 
 

@@ -135,6 +135,14 @@ def _distinct(keys: np.ndarray, docs: np.ndarray, bits: int) -> tuple[np.ndarray
     return cut[first], np.add.reduceat(other, np.flatnonzero(first)) > 0 if len(cut) else first
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, end) of each run of equal values."""
+    if not len(sorted_):
+        return []
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    return list(zip(sorted_[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_)], strict=True))
+
+
 def _blocks(b: pa.RecordBatch):
     for k in range(b.num_rows):
         yield k, Block(b["ids"][k].as_py(), np.array(b["offs"][k].values), b["data"][k].as_py())
@@ -147,10 +155,9 @@ def send_keys(blocks: DataFrame, bits: int) -> DataFrame:
                 keys, _, _, docs = block.runs()
                 cut, multi = _distinct(keys, docs, bits)
                 bucket = (cut >> bo.U64(40)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 low = (cut & bo.U64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                some = [q for q in range(1 << bits) if edges[q + 1] > edges[q]]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "block": pa.array([b["block"][k].as_py()] * len(some), pa.int64()), "keys": pa.array([low[edges[q] : edges[q + 1]].tobytes() for q in some], pa.binary()), "multi": pa.array([np.packbits(multi[edges[q] : edges[q + 1]]).tobytes() for q in some], pa.binary())})
+                some = _runs(bucket)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([q for q, *_ in some], pa.int32()), "block": pa.array([b["block"][k].as_py()] * len(some), pa.int64()), "keys": pa.array([low[x:y].tobytes() for _, x, y in some], pa.binary()), "multi": pa.array([np.packbits(multi[x:y]).tobytes() for _, x, y in some], pa.binary())})
 
     return blocks.mapInArrow(run, "bucket int, block bigint, keys binary, multi binary")
 
@@ -201,17 +208,15 @@ def send_runs(blocks: DataFrame, bits: int) -> DataFrame:
                 keys, starts, windows, docs = block.runs()
                 cut, _ = _distinct(keys, docs, bits)
                 bucket = (cut >> bo.U64(40)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                shared = np.concatenate([np.unpackbits(np.frombuffer(answers[q], np.uint8), count=edges[q + 1] - edges[q]) for q in range(1 << bits) if edges[q + 1] > edges[q]] or [np.zeros(0, np.uint8)]).astype(bool)
+                shared = np.concatenate([np.unpackbits(np.frombuffer(answers[q], np.uint8), count=y - x) for q, x, y in _runs(bucket)] or [np.zeros(0, np.uint8)]).astype(bool)
                 wanted = shared[np.searchsorted(cut, keys >> bo.U64(24 - bits) if bits < 24 else keys)] if len(cut) else np.zeros(0, bool)
                 keys, starts, windows, docs = keys[wanted], starts[wanted], windows[wanted], docs[wanted]
                 order = np.argsort(_bucket(keys, bits), kind="stable")
                 out = np.empty(len(keys), RUN)
                 out["key"], out["start"], out["windows"] = keys[order], starts[order], windows[order]
                 out["doc"] = np.array([0 if i is None else i for i in block.ids], np.int64)[docs[order]]
-                edges = np.searchsorted(_bucket(out["key"], bits), np.arange((1 << bits) + 1))
-                some = [q for q in range(1 << bits) if edges[q + 1] > edges[q]]
-                parts = [out[edges[q] : edges[q + 1]] for q in some]
+                found = _runs(_bucket(out["key"], bits))
+                some, parts = [q for q, *_ in found], [out[x:y] for _, x, y in found]
                 data = [z.compress(block.buf[_flat(x["start"], x["windows"] + (WINDOW - 1))].tobytes()) for x in parts]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "block": pa.array([b["block"][k].as_py()] * len(some), pa.int64()), "runs": pa.array([z.compress(x.tobytes()) for x in parts], pa.binary()), "data": pa.array(data, pa.binary())})
 

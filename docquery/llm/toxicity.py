@@ -2,13 +2,14 @@
 
 Words are runs of letters, lower-cased; a text's features are the distinct hashes of its words, of its
 pairs of adjacent words and of its pairs of words one apart, each modulo ``2 ** BITS``. Training takes a
-bounded sample of labelled rows (``SAMPLE`` rows, those with the smallest hashes of doc_id), whose features
-one task gathers and learns from; it makes ``STEPS`` steps, in 2 to 20 rounds. The L1 penalty leaves few weights that aren't zero, so
-the model that goes to the executors is small: at most ``MAX_WEIGHTS`` (index, weight) pairs, the largest.
+bounded sample of labelled documents (``SAMPLE`` of them, those with the smallest hashes of doc_id, and of these as many as hold
+``FEATURES`` features), which one task gathers and learns from; it makes ``STEPS`` steps, in 2 to 20 rounds. The L1 penalty leaves
+few weights that aren't zero; the model that goes to the executors has at most ``2 ** BITS`` + 1 (index, weight) pairs.
 Every row of the input is scored over its whole text, without a shuffle.
 
 Defined results: null and empty texts have no features and get the bias' score. Repeated rows get equal
-scores. Labels that are null, and labelled doc_ids with contradicting labels, teach nothing. Without any
+scores. Labels that are null, and labelled doc_ids with contradicting labels, teach nothing; of rows that share a doc_id the
+one with the least text teaches. Without any
 training row every score is 0. Columns of the input other than doc_id and text are not read.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,7 @@ from . import bytesops as bo
 from .ftrl import Ftrl, probabilities
 from .tables import Scratch, table
 
-BITS, SAMPLE, STEPS, MAX_WEIGHTS = 18, 16384, 40_000, 1 << 16
+BITS, SAMPLE, STEPS, FEATURES = 18, 16384, 40_000, 1 << 25
 PENALTIES = {"alpha": 0.3, "beta": 1.0, "l1": 1.0, "l2": 0.01}
 
 
@@ -60,7 +61,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         .select("doc_id", "label")
     )
     picked = Scratch(spark, "toxicity").write(_sampled(taught, sample), "sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `sample` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most `sample` rows
 
     def featured(batches):
         for b in batches:
@@ -79,8 +80,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         return pd.DataFrame({"idx": at.astype(np.int64), "w": w[at]})
 
     examples = rows.select("doc_id", "label", "text").mapInArrow(featured, "doc_id bigint, label int, idx array<int>")
+    sizes = Scratch(spark, "toxicity").write(examples.withColumn("order", F.xxhash64("doc_id")), "examples")
+    before = Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over at most `sample` rows of two numbers
+    fits = sizes.select("doc_id", F.coalesce(F.sum(F.size("idx")).over(before), F.lit(0)).alias("before"), "order").where(F.col("before") < FEATURES).select("doc_id")
+    examples = sizes.drop("order").join(fits, "doc_id", "left_semi")
     weights = examples.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(fit, "idx bigint, w double").withColumn("w", F.round("w", 9))
-    kept = weights.where("w != 0").orderBy(F.desc(F.abs("w")), "idx").limit(MAX_WEIGHTS).toPandas().sort_values("idx")
+    kept = weights.where("w != 0").toPandas().sort_values("idx")  # a row for each feature and the bias at most
     bias = kept.loc[kept["idx"] == 1 << BITS, "w"].sum()
     kept = kept[kept["idx"] != 1 << BITS]
     return kept["idx"].to_numpy(np.int64), kept["w"].to_numpy(), float(bias)

@@ -339,6 +339,33 @@ def test_secrets_to_their_real_end(spark):
     assert [out[k] for k in range(len(texts))] == [shape.replace("{}", "[SECRET]") for shape in shapes]
 
 
+def test_private_keys():
+    r = random.Random(3)
+    body = "\n".join("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij") for _ in range(n)) for n in (64, 64, 10))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\n" + body[:129]
+    rest = " and then some words go on. token=9f8e7d6c5b4a39281706 end"
+    texts = ["é " + pem + rest, cut + rest, "-----BEGIN PUBLIC KEY----- plain", "--- ----- ---"]
+    got = {row: [text[a:b] for a, b in spans] for row, text, spans in secret_scan.candidates(pa.array(texts))}
+    assert got == {0: [pem, "9f8e7d6c5b4a39281706"], 1: [cut, "9f8e7d6c5b4a39281706"]}
+
+
+def test_findings_held_out():
+    text = pa.array([t for t, *_ in secret_scan.labelled_findings(400, seed=5)])
+    n = np.zeros(1 << 14)
+    for _, _, buf, _ in bo.slices(text):
+        x = np.minimum(buf, 127).astype(np.int64)
+        n += np.bincount(x[:-1] << 7 | x[1:], minlength=1 << 14)
+    n = n.reshape(128, 128) + 0.5
+    log_p = np.log(n / n.sum(1, keepdims=True))
+    model = secret_scan.fit(secret_scan.labelled_findings(), log_p)
+    held = secret_scan.labelled_findings(1000, seed=12)
+    p = model.predict(np.array([secret_scan.features(t, a, b, path, log_p) for t, path, a, b, _ in held])) >= secret_scan.THRESHOLD
+    y = np.array([x[4] for x in held]) == 1
+    assert (p & y).sum() / p.sum() > 0.95 and (p & y).sum() / y.sum() > 0.95
+    assert secret_scan.fit([], log_p).predict(np.zeros((3, 18))).tolist() == [0, 0, 0]
+
+
 def test_forest_separates():
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 5))
