@@ -33,8 +33,7 @@ def _queries(spark, sf):
 
 
 def _bm25(spark, sf, k, match_all=False):
-    d = _docs(spark, sf)
-    return lexical.bm25(_queries(spark, sf), lexical.postings(d), lexical.corpus_stats(d), k, match_all=match_all)
+    return lexical.bm25_scan(_queries(spark, sf), _docs(spark, sf), k, match_all=match_all)
 
 
 BM25 = f"""toks AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks),
@@ -50,6 +49,12 @@ def top_bm25(spark, sf):
     return _bm25(spark, sf, 50)
 
 
+@register(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 20")
+def top_bm25_index(spark, sf):
+    d = _docs(spark, sf)
+    return lexical.bm25(_queries(spark, sf), lexical.postings(d), lexical.corpus_stats(d), 20)
+
+
 @register(f"WITH {BM25}, b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE matched = n_terms) SELECT * FROM b WHERE rank <= 50")
 def join_all_terms(spark, sf):
     return _bm25(spark, sf, 50, True)
