@@ -36,6 +36,23 @@ FILE_TYPES = {
 TICK = r"[✓✔☑☒◉]|\[[xX]\]|\([xX]\)"
 
 
+# Words of pages that hold data worth extracting, and the shape of their codes.
+DATA_WORDS = (
+    "amps", "dimensions", "loadcentre", "catalogue", "catalog", "breaker", "suffix", "circuits", "skid",
+    "fault", "indicator", "status", "dashboard", "procedure", "step", "warning", "plc", "valve", "turbine", "nl/min",
+    "prerequisite", "defect", "root cause", "corrective action", "maintenance", "log",
+    "revenue", "net profit", "fiscal", "quarter", "ebitda", "footnote", "discrepancy", "compliance", "yoy",
+    "salary", "ctc", "experience", "requirements", "responsibilities",
+)
+DATA_CODE = r"\b[A-Z]{2,4}[0-9]{3,5}[A-Z]*\b"
+
+
+def looks_extractable(c: Column) -> Column:
+    """Whether a page is dense with data: four of the words at least, or five codes."""
+    words = F.size(F.filter(F.array(*map(F.lit, DATA_WORDS)), lambda w: F.contains(F.lower(c), w)))
+    return F.coalesce((words >= 4) | (F.regexp_count(c, F.lit(DATA_CODE)) >= 5), F.lit(False))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once however often use refers to it, inside lambdas too."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

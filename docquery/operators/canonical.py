@@ -9,7 +9,7 @@ from ..functions import query, text
 from . import tables
 
 # The shapes of numbers in cells, and the names of units.
-PLAIN_MM = r"^\s*(\d+(?:\.\d+)?)\s*\((\d+(?:\.\d+)?)\)\s*$"
+PLAIN_MM = r"^\s*(\d+(?:\.\d+)?)\s*\((\d+)\)"
 FRACTION = r"^\s*(\d+)-(\d+)/(\d+)\s*$"
 NUMBER_UNIT = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([a-z]+)?"
 UNITS = {"a": "amps", "amp": "amps", "amps": "amps", "v": "volts", "volts": "volts", "kv": "kv", "w": "watts", "watts": "watts", "kw": "kw", "in": "inches", "inch": "inches", "inches": "inches", "mm": "mm"}

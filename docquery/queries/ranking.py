@@ -186,11 +186,6 @@ def win_token_budget(spark, sf):
     return context.token_budget(context.ordered(_rows(spark, sf))).select("query_id", "chunk_id", "pos")
 
 
-@register()
-def win_greedy_budget(spark, sf):
-    return context.greedy_budget(context.ordered(_rows(spark, sf))).select("query_id", "chunk_id", "pos")
-
-
 @register(f"SELECT query_id, sum(length(text)) > 80000 AS map_reduce FROM {ROWS} GROUP BY query_id")
 def agg_map_reduce(spark, sf):
     return context.map_reduce_needed(_rows(spark, sf))
@@ -219,23 +214,6 @@ def agg_grounding(spark, sf):
     return guard.grounding(_queries(spark, sf), _candidates(spark, sf, 8).select("query_id", "rank", "text")).select("query_id", "keyword_overlap", "score", "is_grounded")
 
 
-@register()
-def guard_sentences(spark, sf):
-    c = table(spark, sf, "conversations")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")
-    answers = c.where("role = 'assistant'").select(key, "text")
-    asked = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("query_id"), F.col("turn").alias("chunk_id"), "text")
-    return guard.verify(answers, asked)
-
-
-@register()
-def guard_flare(spark, sf):
-    c = table(spark, sf, "conversations")
-    answers = c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    asked = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("query_id"), "text")
-    return guard.flare(answers, asked, asked.withColumnRenamed("text", "context"))
-
-
 @register()
 def top_mmr(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -173,14 +173,6 @@ def fn_filter_files(spark, sf):
     return v.select("query_id", query.filters(F.col("text"))["target_file"].alias("target_file")).where("target_file IS NOT NULL")
 
 
-@register(rf"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split({S.format('text')}, chr(10)), lambda x: {S.format('x')}), lambda x: x <> '') AS lines FROM documents),
-t AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(True|False|T|F)(?:$|[^\p{{L}}\p{{N}}_])'))[1] AS line FROM l)
-SELECT doc_id, CASE WHEN len(lines) > 1 THEN lines[1] ELSE {S.format('text')} END AS statement FROM t WHERE line IS NOT NULL""")
-def fn_true_false(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", content.true_false(F.col("text")).alias("f")).where("f IS NOT NULL")
-    return d.select("doc_id", F.get_json_object("f.data", "$.statement").alias("statement"))
-
-
 @register(rf"SELECT doc_id, {S.format(chr(39).join(['regexp_extract(text, ', content.EQUATION, ', 0)']))} AS equation FROM documents WHERE regexp_matches(text, '{content.EQUATION}') AND length({S.format('text')}) <= 500")
 def fn_equation(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", content.equation(F.col("text")).alias("f")).where("f IS NOT NULL")

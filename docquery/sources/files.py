@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunking
 from ..schemas import PARSED
+from . import office
 
 Parser = Callable[[str, bytes], list[str]]
 MAX_ARCHIVE = 1 << 30
-#: Parsers of binary formats; PDF, office and image decoders are registered where they are to be had.
+#: Parsers of binary formats, PDF and image decoders among them, are registered where they are to be had.
 _PARSERS: dict[str, Parser] = {}
 
 
@@ -116,7 +117,7 @@ def parse(files: DataFrame) -> DataFrame:
     csv = f.where("kind = 'csv'").select("path", F.posexplode(F.split(t, "\n")).alias("line", "s")).where("s <> ''")
     cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "s"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')))
     csv = chunking.csv_pages(csv.withColumn("cells", cells), "path").select(F.col("file").alias("path"), F.lit("csv").alias("file_type"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), "page_num", "text")
-    parsers = {"email": parse_email} | _PARSERS
+    parsers = {"email": parse_email} | office.PARSERS | _PARSERS
 
     def run(frames):
         for pdf in frames:

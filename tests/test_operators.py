@@ -243,3 +243,66 @@ def test_bm25_scores_only_documents_with_terms(spark, texts):
     q = spark.createDataFrame([(1, "ab b")], "query_id int, text string")
     got = {r["doc_id"] for r in lexical.bm25(q, lexical.postings(d), lexical.corpus_stats(d), 10).collect()}
     assert got == {k for k, t in enumerate(texts) if {"ab", "b"} & set(t.replace(".", " ").split())}
+
+
+def test_office_files():
+    import io
+    import zipfile
+
+    from docquery.sources import office
+
+    def pack(parts: dict[str, str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, xml in parts.items():
+                z.writestr(name, xml)
+        return out.getvalue()
+
+    w = office.W[1:-1]
+    doc = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+    assert office.parse_docx("a.docx", pack({"word/document.xml": doc})) == ["One\ttwo\ncell"]
+    ns = f'xmlns="{office.S[1:-1]}" xmlns:r="{office.R[1:-1]}"'
+    book = {
+        "xl/workbook.xml": f'<workbook {ns}><sheets><sheet name="B" r:id="r2"/><sheet name="A" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {ns}><si><t>Model</t></si><si><r><t>E</t></r><r><t>QL</t></r></si></sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v> </v></c></row><row><c r="B3"><v>2.5</v></c><c r="C3" t="b"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>',
+    }
+    assert office.parse_xlsx("a.xlsx", pack(book)) == ["[Sheet: B]\nx", "[Sheet: A]\nModel\t\tEQL\n\t2.5\tTRUE"]
+    slide = lambda *t: f'<s xmlns:a="{office.A[1:-1]}">' + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in t) + "</s>"
+    assert office.parse_pptx("a.pptx", pack({"ppt/slides/slide10.xml": slide("ten"), "ppt/slides/slide2.xml": slide("two", " ", "b")})) == ["two\nb", "ten"]
+
+
+def test_generator_tiers(spark):
+    from pyspark.sql import functions as F
+
+    from docquery import models
+    from docquery.plans import topics
+
+    q = spark.createDataFrame([(1, "what does it do here then"), (2, "difference between a relay and a contactor")], "query_id long, text string")
+    titles = spark.createDataFrame([("Zebra", 1, "")], "title string, level int, heading_path string")
+    plain = {r["query_id"]: r for r in topics.classify(topics.filters(q)).join(topics.decompose(q), "query_id").collect()}
+    models.register_llm("t", lambda p: F.when(p.startswith("Name the type"), "A procedure, I think").when(p.startswith("Split"), 'Yes: ["one thing?", "another?"]').when(p.startswith("File"), '{"target_file": "Drive Manual", "page": 4}').otherwise("- first one\n2. second one\nno"))
+    try:
+        told = {r["query_id"]: r for r in topics.classify(topics.filters(q)).join(topics.decompose(q), "query_id").collect()}
+        lines = [r["text"] for r in topics.expansions(q.where("query_id = 1"), titles).orderBy("variant").collect()]
+    finally:
+        models.reset("llm")
+    assert plain[1]["query_type"] == "fact" and plain[1]["parts"] == ["what does it do here then"] and plain[1]["filters"]["page"] is None
+    assert told[1]["query_type"] == "procedure" and told[1]["parts"] == ["one thing?", "another?"] and (told[1]["filters"]["target_file"], told[1]["filters"]["page"]) == ("drive manual", 4)
+    assert told[2]["query_type"] == plain[2]["query_type"] == "comparison" and told[2]["parts"] == plain[2]["parts"]
+    assert lines == ["what does it do here then", "first one", "second one"]
+
+
+def test_filters_before_the_top_k(spark):
+    from docquery.plans import answer
+
+    chunks = spark.createDataFrame([(k, f"valve torque {'valve ' * (k % 7)}", "a" if k % 2 else "b", f"/in/{'Welding' if k % 10 == 3 else 'Other'} Manual.pdf", k % 6) for k in range(300)], "chunk_id long, text string, tenant_id string, source string, page_num int")
+    q = spark.createDataFrame([(1, "valve torque on page 3 of the welding manual", "a"), (2, "valve torque", "b")], "query_id long, text string, tenant_id string")
+    from docquery.functions import query as fq
+    from pyspark.sql import functions as F
+
+    got = answer.retrieve(q.withColumn("filters", fq.filters(F.col("text"))), chunks, 5).collect()
+    one, two = ({r["chunk_id"] for r in got if r["query_id"] == n} for n in (1, 2))
+    assert one and all(k % 2 == 1 and k % 10 == 3 and k % 6 == 3 for k in one) and len(two) == 5 and all(k % 2 == 0 for k in two)
