@@ -306,3 +306,11 @@ def test_filters_before_the_top_k(spark):
     got = answer.retrieve(q.withColumn("filters", fq.filters(F.col("text"))), chunks, 5).collect()
     one, two = ({r["chunk_id"] for r in got if r["query_id"] == n} for n in (1, 2))
     assert one and all(k % 2 == 1 and k % 10 == 3 and k % 6 == 3 for k in one) and len(two) == 5 and all(k % 2 == 0 for k in two)
+
+
+def test_scored_scan_of_nulls_and_empty_tables(spark):
+    q = spark.createDataFrame([(1, "valve torque"), (2, "the of"), (3, None)], "query_id int, text string")
+    d = spark.createDataFrame([("a", "valve valve"), ("b", None), ("c", "torque of valve"), ("d", "nothing")], "doc_id string, text string")
+    assert [(r["query_id"], r["doc_id"]) for r in lexical.bm25_scan(q, d, 2).orderBy("rank").collect()] == [(1, "c"), (1, "a")]
+    assert [r["doc_id"] for r in lexical.bm25_scan(q, d, 2, match_all=True).collect()] == ["c"]
+    assert lexical.bm25_scan(q.limit(0), d, 2).count() == 0 and lexical.bm25_scan(q, d.limit(0), 2).count() == 0
