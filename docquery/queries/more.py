@@ -145,7 +145,8 @@ def fn_expand_ladder(spark, sf):
     return topics.expansions(q, n.select(F.col("n_name").alias("title"), F.lit(1).alias("level"), F.lit("").alias("heading_path")).distinct())
 
 
-@register("SELECT vec_id, round(list_cosine_similarity(list_transform(q, lambda x: (x - 128) * 0.01::DOUBLE), list_transform(r, lambda x: (x - 128) * 0.01::DOUBLE)), 6) AS cos FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: greatest(0, least(255, round_even(x / 0.01::DOUBLE + 128, 0)))) AS q, list_transform(list_reverse(embedding)::DOUBLE[], lambda x: greatest(0, least(255, round_even(x / 0.01::DOUBLE + 128, 0)))) AS r FROM embeddings)")
+# a rounded zero has no sign in Spark
+@register("SELECT vec_id, CASE WHEN cos = 0 THEN 0.0 ELSE cos END AS cos FROM (SELECT vec_id, round(list_cosine_similarity(list_transform(q, lambda x: (x - 128) * 0.01::DOUBLE), list_transform(r, lambda x: (x - 128) * 0.01::DOUBLE)), 6) AS cos FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: greatest(0, least(255, round_even(x / 0.01::DOUBLE + 128, 0)))) AS q, list_transform(list_reverse(embedding)::DOUBLE[], lambda x: greatest(0, least(255, round_even(x / 0.01::DOUBLE + 128, 0)))) AS r FROM embeddings))")
 def vec_quantized_cosine(spark, sf):
     scale, zero = F.lit(0.01), F.lit(128.0)
     e = table(spark, sf, "embeddings").select("vec_id", vectors.quantize(F.col("embedding"), scale, zero).alias("q"), vectors.quantize(F.reverse("embedding"), scale, zero).alias("r"))
