@@ -235,45 +235,73 @@ def _characters(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data), strides=(1,))
 
 
-def same_strings(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """A class for each suffix: equal for those in one group whose first WINDOW bytes are equal; -1 for those alone.
+def sorted_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes' order by group and first WINDOW bytes, and the class of each suffix.
 
-    Shallow: multikey quicksort, an 8-byte character at a time, splits the groups to SHALLOW bytes. Deep: all groups'
-    blind tries grow together, one path a round; members leave their group's path at the first difference.
+    A class holds those of one group whose first WINDOW bytes are equal, and is named by its first place in the order;
+    -1 is the class of those alone. Members of a class may stand in any order.
+
+    Shallow: multikey quicksort to SHALLOW bytes, the pieces of all groups being divided together. Deep: the blind trie
+    of each group that is left, one path of each a round: the path is the first member's, members branch off where they
+    first differ from it, lower branches before the path (nearest the root first), higher ones behind it (nearest the
+    root last), and each branch is a group again.
     """
-    classes = np.full(len(at), -1, np.int64)
     chars = _characters(data)
-    live, part = np.arange(len(at)), group
-    for depth in range(0, SHALLOW, 8):
-        live, part = _split(live, part, chars[at[live] + depth].astype(np.uint64))
-    named = 0
-    while len(live):
-        head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        size = np.diff(np.append(head, len(part)))
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))) if len(order) else order
+    first, size = _multikey(chars, at, order, first, np.diff(np.append(first, len(order))))
+    classes = np.full(len(at), -1, np.int64)
+    while len(first):
+        place = _flat(first, size)
+        live, part, head = order[place], np.repeat(np.arange(len(first)), size), np.cumsum(size) - size
         path = np.repeat(live[head], size)
         common = _common(chars, at[live], at[path])
         equal = common >= WINDOW
-        n_equal = np.add.reduceat(equal, head)
-        label = np.where(n_equal > 1, named + np.arange(len(head)), -1)
-        classes[live[equal]] = np.repeat(label, size)[equal]
-        named += len(head)
-        # the branches: where a member leaves the path, and with which byte
-        off = ~equal
-        branch = np.repeat(np.arange(len(head)), size)[off] * WINDOW + common[off]
-        live, part = _split(live[off], branch, data[at[live[off]] + common[off]].astype(np.uint64))
-    return classes
-
-
-def _split(live: np.ndarray, part: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups divided by the character; those of one member are left out. Members of a group stay in order of place."""
-    if not len(live):
-        return live, part[:0]
-    order = np.lexsort((live, char, part))
-    live, part, char = live[order], part[order], char[order]
-    new = np.concatenate(([True], (part[1:] != part[:-1]) | (char[1:] != char[:-1])))
-    ids = np.cumsum(new)
-    keep = np.bincount(ids)[ids] > 1
-    return live[keep], ids[keep]
+        off = np.flatnonzero(~equal)
+        # 256 slots for each place on the path: lower branches downwards, the path itself, higher ones upwards
+        slot = np.full(len(live), WINDOW << 8)
+        byte, own = (data[at[x[off]] + common[off]].astype(np.int64) for x in (live, path))
+        slot[off] = np.where(byte < own, common[off], 2 * WINDOW - common[off]) << 8 | byte
+        by = np.lexsort((slot, part))
+        order[place] = live[by]
+        slot, part, equal = slot[by], part[by], equal[by]
+        cut = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (slot[1:] != slot[:-1]))))
+        n = np.diff(np.append(cut, len(part)))
+        first, size, done = place[cut][n > 1], n[n > 1], equal[cut][n > 1]
+        classes[order[_flat(first[done], size[done])]] = np.repeat(first[done], size[done])
+        first, size = first[~done], size[~done]
+    return order, classes
+
+
+def _multikey(chars: np.ndarray, at: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of pieces of `order`, in place, to SHALLOW bytes; first place and size of each piece of several that are equal so far.
+
+    A round divides every piece into lower than, equal to and higher than its pivot's 8-byte character; equal parts go on
+    with the next character.
+    """
+    depth, deep = np.zeros(len(first), np.int64), []
+    while len(first):
+        several, done = size > 1, depth >= SHALLOW
+        deep.append((first[several & done], size[several & done]))
+        first, size, depth = (x[several & ~done] for x in (first, size, depth))
+        if not len(first):
+            break
+        place, part = _flat(first, size), np.repeat(np.arange(len(first)), size)
+        live, head = order[place], np.cumsum(size) - size
+        char = chars[at[live] + depth[part]].astype(np.uint64)
+        a, b, c = char[head], char[head + size // 2], char[head + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        side = (char >= pivot).astype(np.int64) + (char > pivot)
+        # stable places: behind the lower sides, by rank within the own one
+        n = np.bincount(part * 3 + side, minlength=3 * len(first)).reshape(-1, 3)
+        start = first[:, None] + np.cumsum(n, axis=1) - n
+        to = start.ravel()[part * 3 + side]
+        for x in range(3):
+            mine = side == x
+            to[mine] += np.arange(np.count_nonzero(mine)) - np.repeat(np.cumsum(n[:, x]) - n[:, x], n[:, x])
+        order[to] = live
+        first, size, depth = start.ravel(), n.ravel(), np.repeat(depth, 3) + np.tile([0, 8, 0], len(first))
+    return tuple(np.concatenate(x) for x in zip(*deep, strict=True)) if deep else (first, size)
 
 
 def _common(chars: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -339,7 +367,7 @@ def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
         windows = runs["windows"][lead].astype(np.int64)
         place = _flat(at[lead], windows)
         owner = np.repeat(lead, windows)
-        classes = same_strings(data, place, np.repeat(ids, windows))
+        _, classes = sorted_suffixes(data, place, np.repeat(ids, windows))
         in_class = np.flatnonzero(classes >= 0)
         least = np.full(int(classes.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, classes[in_class], runs["doc"][owner[in_class]])
