@@ -5,15 +5,19 @@ A string is a window of WINDOW bytes. Whole texts are packed, as they are scanne
 
 1. The key of a window is the least hash of the K-byte strings in it, so equal windows have equal keys, and windows
    that follow each other mostly share one. Each block sends its distinct keys, truncated and packed, by bucket; a
-   bucket answers each block with one bit a key: whether another document may have it.
-2. Blocks send the runs of windows with such a key, packed by bucket of the key, and nothing else.
-3. A bucket sorts the suffixes of these runs. Runs equal as a whole are one class, of which the least doc_id stands
+   bucket answers each block with one bit a key: whether another document may have it, and, if any is, with one whether
+   more than HOT blocks have it.
+2. Blocks send the runs of windows with such a key, packed by bucket of the key, and nothing else; the bytes of runs
+   equal as a whole are sent once a block.
+3. Runs of hot keys go to as many tasks a bucket as the root of the number of blocks. Each collapses its runs that are
+   equal as a whole: all but those of the least doc_id are to be removed, and only the latter go on, to one task a bucket.
+4. A bucket sorts the suffixes of its runs. Runs equal as a whole are one class, of which the least doc_id stands
    for all; what is removed from its first run is removed from that run's repetitions in the document too. The others'
    suffixes are sorted with multikey quicksort on 8-byte characters to SHALLOW bytes; groups that still share a prefix
    are deep, and a blind trie orders each: members branch off the first member's path where they first differ from it,
-   and each branch is a group again. A group without branches is one string; all but those of its least doc_id are to
-   be removed.
-4. Blocks take back their removed windows, and what is left is hashed.
+   and each branch is a group again. Neighbours in this order that share WINDOW bytes are one string; all but those of
+   its least doc_id are to be removed.
+5. Blocks take back their removed windows, and what is left is hashed.
 
 Buckets grow in number with the input; what a task holds of one is about BUCKET bytes of text times a small factor.
 Truncated keys only cost time when they collide; strings are compared byte by byte.
@@ -26,6 +30,7 @@ aren't read. Memory follows the longest text, at about a hundred bytes for each
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,10 @@ from . import bytesops as bo
 from .tables import Scratch, table
 
 WINDOW, K, SHALLOW = 50, 16, 16
-BLOCK, BUCKET, LEAST_BUCKETS, SLICE = 1 << 20, 1 << 22, 64, 1 << 17
-RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u4")])
+BLOCK, BUCKET, LEAST_BUCKETS, SLICE, HOT = 1 << 20, 1 << 22, 64, 1 << 17, 64
+#: A run of windows; same: the row's run whose bytes stand for it, itself if no earlier one is equal.
+RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("same", "<u4")])
+SENT = "bucket int, salt int, block bigint, runs binary, data binary"
 SPAN = np.dtype([("start", "<u4"), ("windows", "<u4")])
 
 
@@ -163,25 +170,25 @@ def send_keys(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _by_bucket(batches):
-    """The rows of each bucket, from batches sorted by bucket."""
+    """The rows of each bucket (and salt, where there is one), from batches sorted by them."""
     now, held = None, []
     for b in batches:
         for k in range(b.num_rows):
             row = {c: b[c][k].as_py() for c in b.schema.names}
-            if row["bucket"] != now and held:
-                yield now, held
+            if (row["bucket"], row.get("salt")) != now and held:
+                yield *now, held
                 held = []
-            now = row["bucket"]
+            now = row["bucket"], row.get("salt")
             held.append(row)
     if held:
-        yield now, held
+        yield *now, held
 
 
 def answer_keys(sent: DataFrame) -> DataFrame:
-    """(block, bucket, shared): a bit for each key that the block has sent to the bucket."""
+    """(block, bucket, shared, hot): bits for each key that the block has sent to the bucket; no `hot` means none."""
 
     def run(batches):
-        for bucket, rows in _by_bucket(batches):
+        for bucket, _, rows in _by_bucket(batches):
             sizes = [len(r["keys"]) // 5 for r in rows]
             flat = np.zeros((sum(sizes), 8), np.uint8)
             flat[:, :5] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, 5)
@@ -191,36 +198,65 @@ def answer_keys(sent: DataFrame) -> DataFrame:
             same = keys[order][1:] == keys[order][:-1]
             shared[order[1:][same]] = True
             shared[order[:-1][same]] = True
-            masks = np.split(shared, np.cumsum(sizes)[:-1])
-            yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "shared": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
-
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block bigint, bucket int, shared binary")
+            # a block sends a key once
+            run_of = np.cumsum(np.concatenate(([False], ~same)))
+            hot = np.empty(len(keys), bool)
+            hot[order] = np.bincount(run_of)[run_of] > HOT
+            masks, hots = (np.split(x, np.cumsum(sizes)[:-1]) for x in (shared, hot))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "shared": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), "hot": pa.array([np.packbits(m).tobytes() if m.any() else None for m in hots], pa.binary())})
+
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block bigint, bucket int, shared binary, hot binary")
+
+
+def _packed(runs: np.ndarray, at: np.ndarray, data: np.ndarray, z: zstandard.ZstdCompressor) -> tuple[bytes, bytes]:
+    """The runs and the bytes that stand for them, once for those with one place in the data."""
+    _, first, which = np.unique(at, return_index=True, return_inverse=True)
+    runs = runs.copy()
+    runs["same"] = first[which]
+    first.sort()
+    return z.compress(runs.tobytes()), z.compress(data[_flat(at[first], runs["windows"][first] + (WINDOW - 1))].tobytes())
+
+
+def _alike(keys: np.ndarray, data: np.ndarray, at: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The first run that equals each one as a whole, itself if there is none or two different ones have one hash."""
+    order = np.lexsort((hashes, sizes, keys))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(sizes[order]) != 0) | (np.diff(hashes[order]) != 0)
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(_equal(data, at[order], at[head], sizes[order]), head, order)
+    return out
 
 
-def send_runs(blocks: DataFrame, bits: int) -> DataFrame:
-    """(bucket, block, runs, data) of the runs whose key may be another document's; blocks have a column `answers`."""
+def send_runs(blocks: DataFrame, bits: int, salts: int) -> DataFrame:
+    """SENT of the runs whose key may be another document's; blocks have a column `answers`. Salt is -1 for keys that aren't hot."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for k, block in _blocks(b):
-                answers = {a["bucket"]: a["shared"] for a in b["answers"][k].as_py() or ()}
+                answers = {a["bucket"]: (a["shared"], a["hot"]) for a in b["answers"][k].as_py() or ()}
                 keys, starts, windows, docs = block.runs()
                 cut, _ = _distinct(keys, docs, bits)
-                bucket = (cut >> bo.U64(40)).astype(np.int64)
-                shared = np.concatenate([np.unpackbits(np.frombuffer(answers[q], np.uint8), count=y - x) for q, x, y in _runs(bucket)] or [np.zeros(0, np.uint8)]).astype(bool)
-                wanted = shared[np.searchsorted(cut, keys >> bo.U64(24 - bits) if bits < 24 else keys)] if len(cut) else np.zeros(0, bool)
-                keys, starts, windows, docs = keys[wanted], starts[wanted], windows[wanted], docs[wanted]
-                order = np.argsort(_bucket(keys, bits), kind="stable")
-                out = np.empty(len(keys), RUN)
+                found = _runs((cut >> bo.U64(40)).astype(np.int64))
+                flags = [np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=y1 - y0) if (x := answers[q][c]) else np.zeros(y1 - y0, np.uint8) for q, y0, y1 in found] or [np.zeros(0, np.uint8)]).astype(bool) for c in (0, 1)]
+                of = np.searchsorted(cut, keys >> bo.U64(24 - bits) if bits < 24 else keys)
+                wanted = flags[0][of] if len(cut) else np.zeros(0, bool)
+                keys, starts, windows, docs, hot = keys[wanted], starts[wanted], windows[wanted], docs[wanted], flags[1][of[wanted]]
+                sizes = windows + (WINDOW - 1)
+                at = starts[_alike(keys, block.buf, starts, sizes, bo.word_hashes(block.buf, starts, starts + sizes))]
+                share = _bucket(keys, bits) * 2 + hot
+                order = np.argsort(share, kind="stable")
+                out = np.zeros(len(keys), RUN)
                 out["key"], out["start"], out["windows"] = keys[order], starts[order], windows[order]
                 out["doc"] = np.array([0 if i is None else i for i in block.ids], np.int64)[docs[order]]
-                found = _runs(_bucket(out["key"], bits))
-                some, parts = [q for q, *_ in found], [out[x:y] for _, x, y in found]
-                data = [z.compress(block.buf[_flat(x["start"], x["windows"] + (WINDOW - 1))].tobytes()) for x in parts]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "block": pa.array([b["block"][k].as_py()] * len(some), pa.int64()), "runs": pa.array([z.compress(x.tobytes()) for x in parts], pa.binary()), "data": pa.array(data, pa.binary())})
+                found = _runs(share[order])
+                packed = [_packed(out[x:y], at[order[x:y]], block.buf, z) for _, x, y in found]
+                name = b["block"][k].as_py()
+                salt = int(bo.mix(np.array([name], bo.U64))[0]) % salts
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([q >> 1 for q, *_ in found], pa.int32()), "salt": pa.array([salt if q & 1 else -1 for q, *_ in found], pa.int32()), "block": pa.array([name] * len(found), pa.int64()), "runs": pa.array([r for r, _ in packed], pa.binary()), "data": pa.array([d for _, d in packed], pa.binary())})
 
-    return blocks.mapInArrow(run, "bucket int, block bigint, runs binary, data binary")
+    return blocks.mapInArrow(run, SENT)
 
 
 def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -336,26 +372,29 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.
     return out
 
 
-def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, first window in it, windows) of what is to be removed; data: the runs' bytes one after the other."""
-    sizes = runs["windows"].astype(np.int64) + WINDOW - 1
-    at = np.cumsum(sizes) - sizes
-    # classes of runs equal as a whole
-    data = np.ascontiguousarray(data)
-    hashes = bo.word_hashes(data, at, at + sizes)
-    order = np.lexsort((runs["doc"], hashes, runs["key"]))
-    key, h, n = runs["key"][order], hashes[order], sizes[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])))
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    same = _equal(data, at[order], at[head], n)
-    lead = order[new | ~same]  # a collision of hashes stands for itself
-    whole = order[same & (runs["doc"][order] > runs["doc"][head])]
+class Whole:
+    """Classes of runs equal as a whole. lead: the first run of the least doc_id of each; whole: those of greater doc_ids; again: other ones of the least doc_id, sorted by their lead first_of."""
+
+    def __init__(self, runs: np.ndarray, data: np.ndarray, at: np.ndarray, hashes: np.ndarray):
+        sizes = runs["windows"].astype(np.int64) + WINDOW - 1
+        order = np.lexsort((runs["doc"], hashes, runs["key"]))
+        key, h, n = runs["key"][order], hashes[order], sizes[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])))
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        same = _equal(data, at[order], at[head], n)
+        self.lead = order[new | ~same]  # a collision of hashes stands for itself
+        self.whole = order[same & (runs["doc"][order] > runs["doc"][head])]
+        again = ~new & same & (runs["doc"][order] == runs["doc"][head])
+        again, first_of = order[again], head[again]
+        by_first = np.argsort(first_of, kind="stable")
+        self.again, self.first_of = again[by_first], first_of[by_first]
+
+
+def removed_windows(runs: np.ndarray, data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first window in it, windows) of what is to be removed; at: where in the data a run's bytes are; hashes: of all its bytes."""
+    classes = Whole(runs, data, at, hashes)
+    lead, whole, again, first_of = classes.lead, classes.whole, classes.again, classes.first_of
     out = [(whole, np.zeros(len(whole), np.int64), runs["windows"][whole].astype(np.int64))]
-    # the first members' repetitions in their own documents, by first member
-    again = ~new & same & (runs["doc"][order] == runs["doc"][head])
-    again, first_of = order[again], head[again]
-    by_first = np.argsort(first_of, kind="stable")
-    again, first_of = again[by_first], first_of[by_first]
     # suffixes of the classes' first members, where a key has several
     lead = lead[np.argsort(runs["key"][lead], kind="stable")]
     key = runs["key"][lead]
@@ -383,10 +422,8 @@ def removed_windows(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _in_slices(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_slices(runs: np.ndarray, data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """removed_windows() of the runs of some keys at a time, SLICE windows or so, and of a key at least."""
-    sizes = runs["windows"].astype(np.int64) + WINDOW - 1
-    at = np.cumsum(sizes) - sizes
     order = np.argsort(runs["key"], kind="stable")
     key = runs["key"][order]
     step = np.cumsum(runs["windows"][order].astype(np.int64)) // SLICE
@@ -395,32 +432,53 @@ def _in_slices(runs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out = []
     for part in np.split(order, cuts):
         if len(part):
-            which, start, windows = removed_windows(runs[part], data[_flat(at[part], sizes[part])])
+            which, start, windows = removed_windows(runs[part], data, at[part], hashes[part])
             out.append((part[which], start, windows))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all rows, the row of each, the bytes, where in them each run's are, and the hash of each run."""
+    z = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(z.decompress(r["runs"]), RUN) for r in rows]
+    data = np.frombuffer(b"".join(z.decompress(r["data"]) for r in rows), np.uint8)
+    runs = np.concatenate(parts)
+    row = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
+    same = runs["same"] + np.cumsum([0, *map(len, parts[:-1])])[row]
+    lead = np.flatnonzero(same == np.arange(len(runs)))
+    sizes = runs["windows"][lead].astype(np.int64) + WINDOW - 1
+    ends = np.cumsum(sizes)
+    at, hashes = np.zeros(len(runs), np.int64), np.zeros(len(runs), bo.U64)
+    at[lead], hashes[lead] = ends - sizes, bo.word_hashes(data, ends - sizes, ends)
+    return runs, row, data, at[same], hashes[same]
+
+
 def sort_runs(sent: DataFrame) -> DataFrame:
-    """(block, spans): the windows to be removed from each block."""
+    """(block, spans): the windows to be removed from each block; and SENT, without salt, of the runs of hot keys that go on."""
 
     def run(batches):
-        for _, rows in _by_bucket(batches):
-            z = zstandard.ZstdDecompressor()
-            parts = [np.frombuffer(z.decompress(r["runs"]), RUN) for r in rows]
-            data = np.frombuffer(b"".join(z.decompress(r["data"]) for r in rows), np.uint8)
-            runs = np.concatenate(parts)
-            block = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-            which, first, windows = _in_slices(runs, data)
+        for bucket, salt, rows in _by_bucket(batches):
+            runs, block, data, at, hashes = _unpacked(rows)
+            c = zstandard.ZstdCompressor(level=3)
+            if salt < 0:
+                which, first, windows = _in_slices(runs, data, at, hashes)
+            else:
+                which = Whole(runs, data, at, hashes).whole
+                first, windows = np.zeros(len(which), np.int64), runs["windows"][which]
+                stay = np.ones(len(runs), bool)
+                stay[which] = False
+                stay = np.flatnonzero(stay)
+                on = [(rows[k]["block"], *_packed(runs[stay[x:y]], at[stay[x:y]], data, c)) for k, x, y in _runs(block[stay])]
+                yield pa.RecordBatch.from_pydict({"spans": pa.nulls(len(on), pa.binary()), "bucket": pa.array([bucket] * len(on), pa.int32()), "salt": pa.array([-1] * len(on), pa.int32()), "block": pa.array([x[0] for x in on], pa.int64()), "runs": pa.array([x[1] for x in on], pa.binary()), "data": pa.array([x[2] for x in on], pa.binary())})
             order = np.argsort(block[which], kind="stable")
             which, first, windows = which[order], first[order], windows[order]
             out = np.empty(len(which), SPAN)
             out["start"], out["windows"] = runs["start"][which] + first, windows
-            edges = np.searchsorted(block[which], np.arange(len(rows) + 1))
-            some = [k for k in range(len(rows)) if edges[k + 1] > edges[k]]
-            c = zstandard.ZstdCompressor(level=3)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([rows[k]["block"] for k in some], pa.int64()), "spans": pa.array([c.compress(out[edges[k] : edges[k + 1]].tobytes()) for k in some], pa.binary())})
+            some = _runs(block[which])
+            nothing = {n: pa.nulls(len(some), t) for n, t in (("bucket", pa.int32()), ("salt", pa.int32()), ("runs", pa.binary()), ("data", pa.binary()))}
+            yield pa.RecordBatch.from_pydict({"spans": pa.array([c.compress(out[x:y].tobytes()) for _, x, y in some], pa.binary()), "bucket": nothing["bucket"], "salt": nothing["salt"], "block": pa.array([rows[k]["block"] for k, *_ in some], pa.int64()), "runs": nothing["runs"], "data": nothing["data"]})
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block bigint, spans binary")
+    return sent.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "block").mapInArrow(run, "spans binary, " + SENT)
 
 
 def cut_blocks(blocks: DataFrame, texts: bool = False) -> DataFrame:
@@ -451,12 +509,14 @@ def cut_blocks(blocks: DataFrame, texts: bool = False) -> DataFrame:
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     blocks = scratch.write(pack(docs), "blocks")
-    total = blocks.select(F.sum(F.element_at("offs", -1))).first()[0] or 0
-    bits = max(LEAST_BUCKETS - 1, total // BUCKET).bit_length()
-    answers = answer_keys(send_keys(blocks, bits)).groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("answers"))
-    sent = send_runs(blocks.join(answers, "block", "left"), bits)
+    total, n = blocks.select(F.sum(F.element_at("offs", -1)), F.count("*")).first()
+    bits = max(LEAST_BUCKETS - 1, (total or 0) // BUCKET).bit_length()
+    answers = answer_keys(send_keys(blocks, bits)).groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))
+    sent = send_runs(blocks.join(answers, "block", "left"), bits, math.isqrt(n) + 1)
     spans = scratch.write(sort_runs(sent), "spans")
-    spans = spans.groupBy("block").agg(F.collect_list("spans").alias("spans"))  # a row for each bucket at most
+    last = scratch.write(sort_runs(spans.where("bucket IS NOT NULL").drop("spans")).select("block", "spans"), "last")
+    spans = spans.where("spans IS NOT NULL").select("block", "spans").union(last)
+    spans = spans.groupBy("block").agg(F.collect_list("spans").alias("spans"))  # two rows for each bucket at most
     return cut_blocks(blocks.join(spans, "block", "left"), texts)
 
 

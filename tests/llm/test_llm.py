@@ -203,6 +203,43 @@ def test_repeated_strings(spark, monkeypatch, alphabet):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_suffix_order(seed):
+    r = random.Random(seed)
+    text = bytes(r.choice(b"ab" if seed % 3 else bytes(range(256))) for _ in range(r.choice([60, 300, 1200])))
+    text += text[:70] * 3 + b"a" * r.randrange(150)
+    at = np.array(r.choices(range(len(text) - 49), k=len(text)), np.int64)
+    group = np.sort(np.array([r.randrange(3) for _ in at], np.int64))
+    order, classes = suffix_dedup.sorted_suffixes(np.frombuffer(text, np.uint8), at, group)
+    key = [(int(g), text[a : a + 50]) for g, a in zip(group, at, strict=True)]
+    assert sorted(order) == list(range(len(at)))
+    assert [key[k] for k in order] == sorted(key)
+    members = {}
+    for k, c in zip(key, classes.tolist(), strict=True):
+        members.setdefault(k, []).append(c)
+    assert all(len(set(c)) == 1 and (c[0] == -1) == (len(c) == 1) for c in members.values())
+    named = [c[0] for c in members.values() if len(c) > 1]
+    assert len(set(named)) == len(named)
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_passages(spark, monkeypatch, hot):
+    """Copies and passages that most blocks hold, in and across blocks, within one document, and under one doc_id."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1500)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(hot)
+    copy, passage = prose(1, 60, 10_000), prose(2, 25, 10_000)
+    texts = [copy if k % 3 == 0 else prose(100 + k, r.randrange(5, 40), 10_000) + (passage * r.choice([1, 1, 3]) if k % 3 == 1 else copy[40:200]) + prose(900 + k, 8, 10_000) for k in range(90)]
+    r.shuffle(texts)
+    docs = docs_of(spark, texts).repartition(5)
+    docs = docs.union(docs.where("doc_id < 4"))
+    want = brute_removed({k: t.encode() for k, t in enumerate(texts)})
+    got = [x for x in suffix_dedup.dedup(docs).collect() if x["doc_id"] in want]
+    assert len(got) == len(texts) + 8
+    for x in got:
+        assert (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) == want[x["doc_id"]]
+
+
 def test_paragraphs_repeated_inside_a_document(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
     s = prose(1, 40, 10_000)
