@@ -9,8 +9,8 @@ A string is a window of WINDOW bytes. Whole texts are packed, as they are scanne
    more than HOT blocks have it.
 2. Blocks send the runs of windows with such a key, packed by bucket of the key, and nothing else; the bytes of runs
    equal as a whole are sent once a block.
-3. Runs of hot keys go to as many tasks a bucket as the root of the number of blocks. Each collapses its runs that are
-   equal as a whole: all but those of the least doc_id are to be removed, and only the latter go on, to one task a bucket.
+3. Runs of hot keys go to as many tasks a bucket as the root of the number of blocks. Each does as 4. does, and only the
+   windows that it does not find to be removed go on, to one task a bucket: each string's least doc_id is among them.
 4. A bucket sorts the suffixes of its runs. Runs equal as a whole are one class, of which the least doc_id stands
    for all; what is removed from its first run is removed from that run's repetitions in the document too. The others'
    suffixes are sorted with multikey quicksort on 8-byte characters to SHALLOW bytes; groups that still share a prefix
@@ -209,8 +209,8 @@ def answer_keys(sent: DataFrame) -> DataFrame:
 
 
 def _packed(runs: np.ndarray, at: np.ndarray, data: np.ndarray, z: zstandard.ZstdCompressor) -> tuple[bytes, bytes]:
-    """The runs and the bytes that stand for them, once for those with one place in the data."""
-    _, first, which = np.unique(at, return_index=True, return_inverse=True)
+    """The runs and the bytes that stand for them, once for those with one place and length in the data."""
+    _, first, which = np.unique(at << 32 | runs["windows"], return_index=True, return_inverse=True)
     runs = runs.copy()
     runs["same"] = first[which]
     first.sort()
@@ -372,29 +372,23 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.
     return out
 
 
-class Whole:
-    """Classes of runs equal as a whole. lead: the first run of the least doc_id of each; whole: those of greater doc_ids; again: other ones of the least doc_id, sorted by their lead first_of."""
-
-    def __init__(self, runs: np.ndarray, data: np.ndarray, at: np.ndarray, hashes: np.ndarray):
-        sizes = runs["windows"].astype(np.int64) + WINDOW - 1
-        order = np.lexsort((runs["doc"], hashes, runs["key"]))
-        key, h, n = runs["key"][order], hashes[order], sizes[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])))
-        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        same = _equal(data, at[order], at[head], n)
-        self.lead = order[new | ~same]  # a collision of hashes stands for itself
-        self.whole = order[same & (runs["doc"][order] > runs["doc"][head])]
-        again = ~new & same & (runs["doc"][order] == runs["doc"][head])
-        again, first_of = order[again], head[again]
-        by_first = np.argsort(first_of, kind="stable")
-        self.again, self.first_of = again[by_first], first_of[by_first]
-
-
 def removed_windows(runs: np.ndarray, data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, first window in it, windows) of what is to be removed; at: where in the data a run's bytes are; hashes: of all its bytes."""
-    classes = Whole(runs, data, at, hashes)
-    lead, whole, again, first_of = classes.lead, classes.whole, classes.again, classes.first_of
+    # classes of runs equal as a whole
+    sizes = runs["windows"].astype(np.int64) + WINDOW - 1
+    order = np.lexsort((runs["doc"], hashes, runs["key"]))
+    key, h, n = runs["key"][order], hashes[order], sizes[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])))
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = _equal(data, at[order], at[head], n)
+    lead = order[new | ~same]  # a collision of hashes stands for itself
+    whole = order[same & (runs["doc"][order] > runs["doc"][head])]
     out = [(whole, np.zeros(len(whole), np.int64), runs["windows"][whole].astype(np.int64))]
+    # the first members' repetitions in their own documents, by first member
+    again = ~new & same & (runs["doc"][order] == runs["doc"][head])
+    again, first_of = order[again], head[again]
+    by_first = np.argsort(first_of, kind="stable")
+    again, first_of = again[by_first], first_of[by_first]
     # suffixes of the classes' first members, where a key has several
     lead = lead[np.argsort(runs["key"][lead], kind="stable")]
     key = runs["key"][lead]
@@ -453,6 +447,18 @@ def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return runs, row, data, at[same], hashes[same]
 
 
+def _rest(runs: np.ndarray, at: np.ndarray, which: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows that are not to be removed: the run each is of, itself, and where its bytes are."""
+    offs = np.concatenate(([0], np.cumsum(runs["windows"].astype(np.int64))))
+    gone = np.zeros(offs[-1], bool)
+    gone[_flat(offs[which] + first, windows)] = True
+    begin, end, of = bo.spans(~gone, offs)
+    rest = runs[of].copy()
+    rest["start"] += (begin - offs[of]).astype("<u4")
+    rest["windows"] = end - begin
+    return of, rest, at[of] + begin - offs[of]
+
+
 def sort_runs(sent: DataFrame) -> DataFrame:
     """(block, spans): the windows to be removed from each block; and SENT, without salt, of the runs of hot keys that go on."""
 
@@ -460,15 +466,10 @@ def sort_runs(sent: DataFrame) -> DataFrame:
         for bucket, salt, rows in _by_bucket(batches):
             runs, block, data, at, hashes = _unpacked(rows)
             c = zstandard.ZstdCompressor(level=3)
-            if salt < 0:
-                which, first, windows = _in_slices(runs, data, at, hashes)
-            else:
-                which = Whole(runs, data, at, hashes).whole
-                first, windows = np.zeros(len(which), np.int64), runs["windows"][which]
-                stay = np.ones(len(runs), bool)
-                stay[which] = False
-                stay = np.flatnonzero(stay)
-                on = [(rows[k]["block"], *_packed(runs[stay[x:y]], at[stay[x:y]], data, c)) for k, x, y in _runs(block[stay])]
+            which, first, windows = _in_slices(runs, data, at, hashes)
+            if salt >= 0:
+                of, rest, at = _rest(runs, at, which, first, windows)
+                on = [(rows[k]["block"], *_packed(rest[x:y], at[x:y], data, c)) for k, x, y in _runs(block[of])]
                 yield pa.RecordBatch.from_pydict({"spans": pa.nulls(len(on), pa.binary()), "bucket": pa.array([bucket] * len(on), pa.int32()), "salt": pa.array([-1] * len(on), pa.int32()), "block": pa.array([x[0] for x in on], pa.int64()), "runs": pa.array([x[1] for x in on], pa.binary()), "data": pa.array([x[2] for x in on], pa.binary())})
             order = np.argsort(block[which], kind="stable")
             which, first, windows = which[order], first[order], windows[order]
