@@ -108,7 +108,8 @@ class Block:
         _, down = bo.powers(len(sums))
         m = len(buf) - K + 1
         with np.errstate(over="ignore"):
-            keys = sliding_min(bo.mix((sums[K:] - sums[:-K]) * down[:m]), WINDOW - K + 1)
+            # mixed again: least hashes are small numbers, and buckets go by the first bits
+            keys = bo.mix(sliding_min(bo.mix((sums[K:] - sums[:-K]) * down[:m]), WINDOW - K + 1))
         valid = np.ones(len(keys), bool)
         for end in offs[1:-1]:
             valid[max(0, end - WINDOW + 1) : min(end, len(valid))] = False
