@@ -44,7 +44,7 @@ from . import bytesops as bo
 from .tables import Scratch, table
 
 WINDOW, K, SHALLOW = 50, 16, 16
-BLOCK, BUCKET, LEAST_BUCKETS, SLICE, HOT = 1 << 20, 1 << 22, 64, 1 << 17, 64
+BLOCK, BUCKET, LEAST_BUCKETS, SLICE, HOT = 1 << 20, 1 << 23, 64, 1 << 17, 64
 #: A run of windows; same: the row's run whose bytes stand for it, itself if no earlier one is equal.
 RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("same", "<u4")])
 SENT = "bucket int, salt int, block bigint, runs binary, data binary"
