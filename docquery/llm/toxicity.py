@@ -98,22 +98,26 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _probabilities(batches, model: tuple[np.ndarray, np.ndarray, float]):
+    """Each batch with the score of its every text."""
+    at, w, bias = model
+    dense = np.zeros(1 << BITS)
+    dense[at] = w
+    for b in batches:
+        logits = np.full(b.num_rows, bias)
+        for row, idx in features(b["text"]):
+            logits[row] += dense[idx].sum()
+        p = np.round(probabilities(logits[:, None])[:, 0], 9)
+        yield b, p if len(at) or bias else np.zeros_like(p)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """Adds `score` double and `predicted` int to docs' rows (columns of those names are replaced); one scan, no shuffle."""
-    at, w, bias = model
     docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        dense = np.zeros(1 << BITS)
-        dense[at] = w
-        for b in batches:
-            logits = np.full(b.num_rows, bias)
-            for row, idx in features(b["text"]):
-                logits[row] += dense[idx].sum()
-            p = np.round(probabilities(logits[:, None])[:, 0], 9)
-            if not len(at) and bias == 0:
-                p[:] = 0.0
+        for b, p in _probabilities(batches, model):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
@@ -126,9 +130,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the model rejects (score of 0.5 or more)."""
+    """Drops the documents that the model rejects (score of 0.5 or more); all columns stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+
+    def run(batches):
+        for b, p in _probabilities(batches, model):
+            yield b.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)))
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

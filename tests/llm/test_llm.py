@@ -542,5 +542,75 @@ def test_pipeline(spark, sf):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 100 and {"doc_id", "copies", "taken"} <= set(out.columns)
+    assert out.count() > 100 and {"doc_id", "text", "copies", "taken"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "secret_scan", "mixing"]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder of documents, labels and test items with nulls, repeated rows and clashing columns, and the documents' texts by id."""
+    where = str(tmp_path_factory.mktemp("corpus"))
+    item, secret = prose(5, 40, 10_000), "AKIA" + "Q7ZTX4MB2KWY5NRA"
+    texts = [prose(1000 + k, 40, 5000) for k in range(300)]
+    toxic = {k for k in range(300) if k % 4 == 1}
+    for k in toxic:
+        texts[k] += (" idiot", " scum")[k // 4 % 2] + " " + prose(k, 5)
+    texts += [texts[0], texts[0].upper(), texts[2] + " tail", texts[4] + " " + item, prose(8, 40, 5000) + " access_key=" + secret + " end", "two words", "", prose(7, 60_000, 5000)]
+    docs = docs_of(spark, texts)
+    docs.write.parquet(where + "/documents.parquet")
+    spark.createDataFrame([(k, int(k in toxic)) for k in range(300)], "doc_id bigint, toxic int").write.parquet(where + "/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(where + "/benchmark.parquet")
+    return where, texts, toxic, item, secret
+
+
+def test_stages_against_brute_force(spark, corpus):
+    """Each stage on what the one before kept, against a plain version of its decision on the same rows."""
+    import corpus_pipeline
+
+    where, texts, toxic, item, secret = corpus
+    docs, scratch, kept = spark.read.parquet(where + "/documents.parquet"), Scratch(spark, "test-stages"), {}
+    columns = docs.columns
+    before = {"": [tuple(r) for r in docs.collect()]}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = scratch.write(stage(spark, docs, where), name)
+        kept[name] = docs.collect()
+        if name != "mixing":
+            assert docs.columns == columns
+            before[name] = [tuple(r) for r in kept[name]]
+    key = lambda rows: sorted(rows, key=repr)
+
+    assert {r[0] for r in before[""]} - {r[0] for r in before["toxicity"]} == toxic
+    assert key(before["toxicity"]) == key(r for r in before[""] if r[0] not in toxic)
+
+    rows = sorted((r for r in before["toxicity"] if r[0] is not None), key=lambda r: r[0])
+    sizes, label = brute_components([r[1] or "" for r in rows])
+    least: dict = {}
+    for r, n, c in zip(rows, sizes, label, strict=True):
+        least.setdefault(c if n else ("none", r[0]), r)
+    assert key(before["jaccard_join"]) == key([*least.values(), *(r for r in before["toxicity"] if r[0] is None)])
+
+    clean = [r for r in before["jaccard_join"] if brute_matches(r[1] or "", item) < 0.5]
+    assert key(before["decontamination"]) == key(clean) and len(clean) < len(before["jaccard_join"])
+
+    want = [(r[0], r[1].replace(secret, "[SECRET]"), *r[2:4], len(r[1].replace(secret, "[SECRET]")), *r[5:]) if r[1] and secret in r[1] else r for r in clean]
+    assert set(map(repr, before["secret_scan"])) ^ set(map(repr, want)) == set()
+    assert key(before["secret_scan"]) == key(want) and want != clean
+
+    mixed, wanted, largest = kept["mixing"], {}, {}
+    for r in mixed:
+        assert r["copies"] in (1, 2) and r["taken"] == r["copies"] * r["size"]
+        wanted[r["source"]] = wanted.get(r["source"], r["target"]) - r["taken"]
+    for r in want:
+        largest[r[3]] = max(largest.get(r[3], 0), len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")))
+    assert all(abs(off) <= 0.51 * largest[source] + 50 for source, off in wanted.items())  # texts are taken whole
+    texts_of = {(r[0], r[1]) for r in want}
+    assert all((r["doc_id"], r["text"]) in texts_of for r in mixed)
+
+
+def test_stages_of_an_empty_table(spark, corpus):
+    import corpus_pipeline
+
+    where, docs = corpus[0], spark.read.parquet(corpus[0] + "/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, where)
+        assert docs.count() == 0, name
