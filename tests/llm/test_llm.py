@@ -313,6 +313,23 @@ def test_a_token_that_all_have(spark):
     assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in range(len(texts))] == list(zip(sizes, label, strict=True))
 
 
+def test_about_half_of_the_tokens_are_frequent(spark):
+    """Groups of near copies that share a passage with many other texts, so that of two linked texts frequent tokens prevail in one only."""
+    r, texts = random.Random(7), []
+    for c in (12, 12, 20, 30, 30, 60) * 4:
+        common = [f"c{len(texts)}w{k}" for k in range(c)]
+        for k in range(40):
+            own = prose(1000 * len(texts) + k, round(c * r.choice([0.5, 0.8, 1, 1.2, 1.6])), 10**6).split()
+            for _ in range(r.choice([1, 2, 2, 2, 3, 8])):
+                w = list(own)
+                for _ in range(r.randrange(1 + max(1, (c + len(w)) // 40))):
+                    w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+                texts.append(" ".join(common + w + [f"y{r.randrange(10**6)}" for _ in range(r.randrange(1 + (c + len(w)) // 10))]))
+    got = {r["doc_id"]: r for r in jaccard_join.link(docs_of(spark, texts)).collect()}
+    sizes, label = brute_components(texts)
+    assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in range(len(texts))] == list(zip(sizes, label, strict=True))
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["comp"] for r in components(e, Scratch(spark, "t"), "c").collect()}
