@@ -330,6 +330,27 @@ def test_about_half_of_the_tokens_are_frequent(spark):
     assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in range(len(texts))] == list(zip(sizes, label, strict=True))
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words and their complements are different shingles."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    own = prose(5, 30)
+    texts = [a, b, own, f"{own} {a}", f"{own} {b}", f"{own} {a} {b}", f"{own} {b} {a}", *(f"{own[:9]}{k}" for k in (a[:64], a[:65], b[:65]))]
+    sizes, label = brute_components(texts)
+    got = {r["doc_id"]: r for r in jaccard_join.link(docs_of(spark, texts)).collect()}
+    assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in range(len(texts))] == list(zip(sizes, label, strict=True))
+
+
+def test_rows_of_one_document_with_and_without_words(spark):
+    """Of rows that share a doc_id the empty ones have the component of the others, and the pipeline's stage keeps none of a copy's rows."""
+    rows = [(5, prose(1, 30)), (9, prose(1, 30)), (9, ""), (9, None), (None, ""), (12, " "), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 26, 5), (9, 26, 5), (9, 0, 5), (9, 0, 5), (None, 0, None), (12, 0, 12), (12, 0, 12)], key=repr)
+    assert sorted(repr(r["doc_id"]) for r in jaccard_join.stage(spark, docs, "").collect()) == ["12", "5", "None"]
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["comp"] for r in components(e, Scratch(spark, "t"), "c").collect()}
