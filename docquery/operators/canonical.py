@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import query, text
-from . import tables
+from . import lexical, tables
 
 # The shapes of numbers in cells, and the names of units.
 PLAIN_MM = r"^\s*(\d+(?:\.\d+)?)\s*\((\d+)\)"
@@ -108,10 +108,24 @@ def aggregate(store: DataFrame, filters: list[tuple[str, str, float]], section:
     return out.orderBy("section_title", "row_index", "row_id").limit(limit)
 
 
+def rows_with(codes: DataFrame, store: DataFrame) -> DataFrame:
+    """store's rows with those of codes (code, ...) that their cells, as JSON in lower case, hold; a row once for each run that holds the code.
+
+    A catalogue code lies in one run of letters, digits and hyphens: equi-joins by code and by run. Any other string meets every row.
+    """
+    asked = codes.withColumn("low", F.lower("code"))
+    shaped = F.col("low").rlike(lexical.CODE_START + "[a-z0-9-]*$")
+    runs = store.withColumn("run", F.explode(lexical.code_runs(F.to_json("cells"))))
+    found = runs.join(lexical.codes_in(runs, asked.where(shaped)), "run").drop("run")
+    found = found.join(asked.where(shaped), "low").select(*store.columns, *codes.columns)
+    other = asked.where(~shaped)
+    return found.unionByName(store.join(other, F.contains(F.lower(F.to_json("cells")), F.col("low"))).select(*store.columns, *codes.columns))
+
+
 def lookup(queries: DataFrame, store: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, row_id, score): rows that hold a code of the query, by row, else rows that share its words, by share."""
     codes = queries.select("query_id", F.explode(F.array_distinct(query.catalogue_patterns(F.col("text")))).alias("code"))
-    hit = store.join(codes, F.contains(F.lower(F.to_json("cells")), F.lower("code"))).select("query_id", "row_id", "row_index").distinct().withColumn("score", F.lit(2.0))
+    hit = rows_with(codes, store.select("row_id", "row_index", "cells")).select("query_id", "row_id", "row_index").distinct().withColumn("score", F.lit(2.0))
     rest = queries.join(hit.select("query_id").distinct(), "query_id", "left_anti")
     asked = rest.select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("term"))
     held = store.select("row_id", "row_index", F.explode(F.array_distinct(text.tokens(F.col("nl_sentence")))).alias("term"))
@@ -122,8 +136,7 @@ def lookup(queries: DataFrame, store: DataFrame, limit: int = 20) -> DataFrame:
 
 def for_comparison(codes: DataFrame, store: DataFrame) -> DataFrame:
     """One row, the first, for each code (pos, code), in their order."""
-    j = store.join(codes, F.contains(F.lower(F.to_json("cells")), F.lower("code")))
-    return j.withColumn("k", F.row_number().over(Window.partitionBy("pos").orderBy("row_index", "row_id"))).where("k = 1").drop("k")
+    return rows_with(codes, store).withColumn("k", F.row_number().over(Window.partitionBy("pos").orderBy("row_index", "row_id"))).where("k = 1").drop("k")
 
 
 def comparison(items: DataFrame, name: str, cells: str = "cells") -> DataFrame:
