@@ -18,10 +18,8 @@ def search_sections(queries: DataFrame, stored: DataFrame, top_k: int = TOP_SECT
 
     queries: (query_id, tenant_id, embedding_model, embedding), the stated set; stored: (section_id, tenant_id, embedding_model, embedding).
     """
-    q = queries.select("query_id", "tenant_id", "embedding_model", F.col("embedding").alias("q"))
-    both = stored.join(q, ["tenant_id", "embedding_model"])
-    scored = both.select("query_id", "section_id", F.round(vec.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return retrieval.ranked(scored, "section_id", top_k)
+    found = vec.nearest(queries, stored.withColumnRenamed("section_id", "item_id"), top_k, ("tenant_id", "embedding_model"))
+    return retrieval.ranked(found.select("query_id", F.col("item_id").alias("section_id"), F.round("score", 6).alias("score")), "section_id", top_k)
 
 
 def by_topic(found: DataFrame, tree: DataFrame, chunks: DataFrame, most: int = SECTION_CHUNKS) -> DataFrame:
