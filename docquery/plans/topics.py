@@ -57,10 +57,11 @@ def expansions(queries: DataFrame, titles: DataFrame, most: int = MOST_QUERIES)
 
     Each tier serves the queries that the one before has left without anything; repeats go.
     """
-    toc = lexical.section_expansion(queries, titles).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("toc"))
+    asked = queries.withColumn("words", lexical.title_words(F.col("text")))
+    toc = lexical.titles_of(asked, titles).groupBy("words").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("toc"))
     m = models.llm()
     made = F.lit(None).cast("array<string>") if m is None else lines_of(m.call(F.concat(F.lit(f"Rephrase as up to {most} search queries, one a line: "), "text")))
-    q = queries.join(toc, "query_id", "left").withColumn("made", made)
+    q = asked.join(toc, "words", "left").withColumn("made", made)
     every = F.when(F.size("toc") > 0, F.concat(F.array("text"), "toc")).when(F.size("made") > 0, F.concat(F.array("text"), "made")).otherwise(query.expand(F.col("text"), most))
     return q.select("query_id", F.posexplode(F.slice(query.distinct_queries(every), 1, most + 1)).alias("variant", "text"))
 
