@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -37,15 +37,22 @@ def by_section(df: DataFrame, most: int = PER_SECTION) -> DataFrame:
     return g.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(last, F.desc("best"), "key", "section", "chunk_id"))).drop("key", "best", "in_section")
 
 
+def _chars(df: DataFrame) -> Column:
+    return F.col("chars") if "chars" in df.columns else F.length("text")
+
+
 def token_budget(df: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The prefix, by pos, whose characters fit the budget; the first always stays. It stops at the first overflow."""
-    total = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    """The prefix, by pos, whose characters fit the budget; the first always stays. It stops at the first overflow.
+
+    df has the texts, or only their lengths as `chars`, which is all that is dealt out and sorted then.
+    """
+    total = F.sum(_chars(df)).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("total", total).where((F.col("total") <= budget) | (F.col("pos") == 1)).drop("total")
 
 
 def greedy_budget(df: DataFrame, budget: int = BUDGET, most: int | None = None) -> DataFrame:
-    """By pos, what still fits; an item that doesn't is skipped, not the end. A fold over a query's few candidates."""
-    items = F.array_sort(F.collect_list(F.struct("pos", "chunk_id", F.length("text").alias("len"))))
+    """By pos, what still fits; an item that doesn't is skipped, not the end. A fold over a query's few candidates, with texts or `chars`."""
+    items = F.array_sort(F.collect_list(F.struct("pos", "chunk_id", _chars(df).alias("len"))))
     kind = "struct<used:bigint,kept:array<bigint>>"
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept")).cast(kind)
 
