@@ -38,11 +38,12 @@ def header_paths(cells: DataFrame, key: str = "table_id") -> DataFrame:
 
 def fill(cells: DataFrame, key: str = "table_id", gated: bool = True) -> DataFrame:
     """Empty data cells take the value above, and those at the top the value below; gated: in sparse columns only."""
-    whole = Window.partitionBy(key, "col")
+    order = Window.partitionBy(key, "col").orderBy("row")  # of all three, so that cells are sorted once
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = F.when(F.col("text") != "", F.col("text"))
-    down = whole.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    up = whole.orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    filled = F.coalesce(x, F.last(x, True).over(down), F.first(x, True).over(up), F.lit(""))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
+    # where there is none above, the first below is the column's first
+    filled = F.coalesce(x, F.last(x, True).over(down), F.first(x, True).over(whole), F.lit(""))
     rate = F.avg((text.strip(F.col("text")) != "").cast("double")).over(whole)
     return cells.withColumn("text", F.when(rate <= FILL_RATE, filled).otherwise(F.col("text")) if gated else filled)
 
